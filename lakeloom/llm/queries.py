@@ -80,7 +80,7 @@ with u as (select page_id, url, case when instr(url, '://') > 0 then substr(url,
 p as (select page_id, url, translate(regexp_extract(rest, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as host,
     regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) as path, regexp_extract(rest, '^[^?#]*\?([^#]*)', 1) as query from u),
 c as (select *, regexp_replace(regexp_replace(host, '^www\.', ''), ':(80|443)$', '') || regexp_replace(path, '/+$', '') as base,
-    array_to_string(list_sort(list_filter(string_split(query, '&'), x -> x <> '' and not starts_with(x, 'utm_'))), '&') as kept from p),
+    array_to_string(list_sort(list_filter(string_split(query, '&'), lambda x: x <> '' and not starts_with(x, 'utm_'))), '&') as kept from p),
 n as (select *, case when kept <> '' then base || '?' || kept else base end as name from c),
 listed as (select distinct name from n where contains(url, 'utm_source=') and name <> ''),
 r as (select n.*, case
