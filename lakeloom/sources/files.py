@@ -10,14 +10,14 @@ from ..operators.history import content_hash, dedup_latest
 
 CORRUPT = "_corrupt_record"
 #: The envelope of public events, the used part of their payload, and the envelope of edits.
-EVENT_SCHEMA = StructType.fromDDL("id string, type string, actor struct<id: bigint, login: string, display_login: string, url: string, avatar_url: string>, repo struct<id: bigint, name: string, url: string>, org struct<id: bigint, login: string>, payload string, public boolean, created_at string")
+EVENT_SCHEMA = "id string, type string, actor struct<id: bigint, login: string, display_login: string, url: string, avatar_url: string>, repo struct<id: bigint, name: string, url: string>, org struct<id: bigint, login: string>, payload string, public boolean, created_at string"
 PAYLOAD_SCHEMA = (
     "action string, ref string, ref_type string, push_id bigint, head string, number bigint, "
     "pull_request struct<id: bigint, number: bigint, base: struct<ref: string>, head: struct<ref: string>>, "
     "issue struct<number: bigint, title: string, state: string>, review struct<state: string>, release struct<tag_name: string>"
 )
-EDIT_SCHEMA = StructType.fromDDL("meta struct<id: string, dt: string, domain: string, partition: int, offset: bigint>, id bigint, type string, namespace int, title string, user string, bot boolean, minor boolean, timestamp bigint, wiki string, server_name string, length struct<old: bigint, new: bigint>, log_type string")
-REPO_SCHEMA = StructType.fromDDL(
+EDIT_SCHEMA = "meta struct<id: string, dt: string, domain: string, partition: int, offset: bigint>, id bigint, type string, namespace int, title string, user string, bot boolean, minor boolean, timestamp bigint, wiki string, server_name string, length struct<old: bigint, new: bigint>, log_type string"
+REPO_SCHEMA = (
     "_request_url string, _status int, _fetched_at string, _etag string, _link string, data struct<id: bigint, full_name: string, owner: struct<login: string, type: string>, description: string, language: string, "
     "license: struct<spdx_id: string>, topics: array<string>, stargazers_count: bigint, forks_count: bigint, open_issues_count: bigint, subscribers_count: bigint, size: bigint, default_branch: string, archived: boolean, fork: boolean, created_at: string, updated_at: string, pushed_at: string>"
 )
@@ -39,8 +39,7 @@ def split_corrupt(df: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 def event_stream(spark: SparkSession, landing: str, files_per_batch: int = 4) -> DataFrame:
     """JSON(.gz) event files as a stream, with file metadata and a corrupt-record column."""
-    schema = StructType(EVENT_SCHEMA.fields).add(CORRUPT, "string")
-    return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", CORRUPT).json(landing).select("*", "_metadata")
+    return spark.readStream.schema(f"{EVENT_SCHEMA}, {CORRUPT} string").option("maxFilesPerTrigger", files_per_batch).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", CORRUPT).json(landing).select("*", "_metadata")
 
 
 def edit_stream(spark: SparkSession, landing: str, files_per_batch: int = 1) -> DataFrame:
