@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
 import shutil
 import tempfile
 import uuid
@@ -16,7 +17,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Rows and bytes of an Arrow batch: a worker never holds more text than this (one longer text excepted).
-BATCH_ROWS, BATCH_BYTES = 2000, 3 << 20
+BATCH_ROWS, BATCH_BYTES = 500, 3 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -75,10 +76,20 @@ def text_udf(function, schema: str):
         for batch in texts:
             arrays = [x if isinstance(x, pa.Array) else pa.array(x) for x in run(batch.cast(pa.binary()).to_pylist())]
             yield pa.StructArray.from_arrays(arrays, names=[n for n, _ in fields])
+        _give_back()
 
     return apply.asNondeterministic()
 
 
+def _give_back() -> None:
+    """Return freed memory to the system after a task: a worker lives on, idle, beside the next stage."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        return
+
+
 def _split(schema: str) -> list[str]:
     """The parts of "a int, b array<struct<x: int, y: int>>" at the commas outside brackets."""
     parts, depth, start = [], 0, 0

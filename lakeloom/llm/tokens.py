@@ -25,7 +25,7 @@ from .bytetable import LONGEST, ByteTable, distinct, lanes, padded, spread
 
 END_ID = 1
 #: Units whose ids a worker remembers (a bound on its memory); then it starts afresh.
-ROOM = 600_000
+ROOM = 400_000
 #: Classes of bytes: blanks, marks that end a word without being read together with its letters, and all others.
 MARKS = b"!\"#$%&()*+,-./:;<=>?@[]^_`{|}~"
 CLASS = np.array([0 if c in b"\t\n\v\f\r " else 2 if c in MARKS else 1 for c in range(256)], np.uint8)
