@@ -229,12 +229,40 @@ def _cut_all(texts: pa.Array, spans: pa.Array) -> pa.Array:
     return pa.array([t if t is None or not s else _cut(t.encode(), s).decode() for t, s in zip(texts.to_pylist(), spans.to_pylist(), strict=True)], pa.string())
 
 
-def decontaminate(docs: DataFrame, items: DataFrame, text_col: str = "text", max_coverage: float = 0.5, min_span: int = 1, **kw) -> DataFrame:
+def cleaner(spark, machine: Automaton, max_coverage: float, min_span: int):
+    """A UDF: text -> struct(keep, text): whether coverage is within the limit, and the text without its hit spans, null if nothing is cut."""
+    shared = spark.sparkContext.broadcast(machine)
+
+    def start():
+        m = shared.value
+
+        def run(texts: list[bytes | None]):
+            keep, cut = [], []
+            for t in texts:
+                ws = words(t)
+                spans = covered(m.search(ws)[0])
+                keep.append(sum(b - a + 1 for a, b in spans) <= max_coverage * max(1, len(ws)))
+                long = [{"first": a, "last": b} for a, b in spans if b - a + 1 >= min_span]
+                cut.append(_cut(t, long).decode() if t and long else None)
+            return pa.array(keep, pa.bool_()), pa.array(cut, pa.string())
+
+        return run
+
+    return common.text_udf(start, "keep boolean, text string")
+
+
+def decontaminate(docs: DataFrame, items: DataFrame, text_col: str = "text", max_coverage: float = 0.5, min_span: int = 1, item_id: str = "item_id", item_text: str = "text", window: int = WINDOW, block_words: int = BLOCK_WORDS) -> DataFrame:
     """docs without test items: hit spans of at least min_span words are cut out of a text; a text of which more than max_coverage is hit goes.
 
-    A document without hits stays as it is.
+    A document without hits stays as it is. With one block of items a single UDF searches and cuts.
     """
-    hits = search(docs, items, text_col, out="__hits", **kw)
+    common.prepare(docs.sparkSession)
+    machines = list(automata(items, item_id, item_text, window, block_words))
+    if len(machines) <= 1:
+        udf = cleaner(docs.sparkSession, machines[0] if machines else Automaton([], window), max_coverage, min_span)
+        done = docs.withColumn("__clean", udf(F.col(text_col))).filter("__clean.keep")
+        return done.withColumn(text_col, F.coalesce("__clean.text", text_col)).drop("__clean")
+    hits = search(docs, items, text_col, item_id, item_text, window, "__hits", block_words)
     spans = F.filter("__hits.spans", lambda s: s["last"] - s["first"] + 1 >= min_span)
     share = F.aggregate("__hits.spans", F.lit(0), lambda a, s: a + s["last"] - s["first"] + 1) / F.greatest(F.col("__hits.n_words"), F.lit(1))
     cut = F.arrow_udf(_cut_all, T.StringType())

@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from . import common
 
-HIDDEN, SEGMENT, LANES = 8, 256, 2048
+HIDDEN, SEGMENT, LANES = 8, 256, 512
 #: Fitting: rows a language (bounded sample), bytes of one piece, pieces a step, steps, most languages.
 ROWS_PER_LANG, PIECE, PIECES, STEPS, MAX_LANGS = 400, 48, 96, 500, 128
 LETTER = re.compile(r"[^\W\d_]")

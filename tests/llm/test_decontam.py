@@ -60,5 +60,6 @@ def test_odd_rows_in_one_block_and_in_many(spark, odd_docs, no_docs, items):
 
 def test_spans_are_cut_and_clean_texts_stay(spark, items):
     docs = spark.createDataFrame([(1, "Before it, A quiet: PLACE! after that we leave for good"), (2, "a quiet place"), (3, "nothing here\n at all"), (4, None)], "doc_id int, text string")
-    got = {r["doc_id"]: r["text"] for r in decontam.decontaminate(docs, items).collect()}
-    assert got == {1: "Before it, ! after that we leave for good", 3: "nothing here\n at all", 4: None}
+    for block in (1_000_000, 5):
+        got = {r["doc_id"]: r["text"] for r in decontam.decontaminate(docs, items, block_words=block).collect()}
+        assert got == {1: "Before it, ! after that we leave for good", 3: "nothing here\n at all", 4: None}
