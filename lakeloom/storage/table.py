@@ -597,20 +597,20 @@ class Table:
         remove = [p for p in now["files"] if p not in then["files"]]
         return self._commit(now, "RESTORE", add, remove, {"files_restored": len(add), "files_removed": len(remove)}, **{k: then[k] for k in ("schema", "properties", "constraints", "generated", "mapping", "identity") if k in then})
 
-    def vacuum(self, retain_versions: int = 1) -> int:
-        """Delete data files that none of the last versions reads; the number deleted. Earlier versions can't be read afterwards."""
+    def vacuum(self, retain_versions: int = 1, keep_changes: bool = True) -> int:
+        """Delete data files that none of the last versions reads; the number deleted. Earlier versions, and without keep_changes all recorded changes, can't be read afterwards."""
         keep: set[str] = set()
         for v in self.versions()[-max(1, retain_versions) :]:
-            keep |= set(self.state(v)["files"]) | set(self.commit_at(v)["changes"])
+            keep |= set(self.state(v)["files"]) | (set(self.commit_at(v)["changes"]) if keep_changes else set())
         gone = [p for p in self.log.files("data") if p.endswith(".parquet") and p not in keep]
         for p in gone:
             self.log.delete(p)
         return len(gone)
 
     def erase(self, condition: str) -> dict[str, int]:
-        """Delete rows and every earlier file that still holds them."""
+        """Delete rows and every file that still holds them, change files too."""
         deleted = self.delete(condition)["deleted"]
-        return {"deleted": deleted, "files_purged": self.vacuum(1)}
+        return {"deleted": deleted, "files_purged": self.vacuum(1, keep_changes=False)}
 
     def compact(self, files: int = 1, cluster_by: Sequence[str] = (), zorder_by: Sequence[str] = ()) -> dict[str, int]:
         """Rewrite into fewer files, in ranges of cluster_by or along a Z-curve; no row changes."""
