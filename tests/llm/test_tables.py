@@ -106,7 +106,7 @@ def test_webp_features_round_trip():
         for o in options:
             assert np.array_equal(webp.decode(webp.encode(image, **o)), image), o
         assert np.array_equal(webp.decode(webp.encode_plain(image)), image)
-    for image in (few, many, flat, tile[:, :, :] // 64 * 64 if False else few[:, :3]):
+    for image in (few, many, flat, few[:, :3]):
         for o in ({"palette": True}, {"palette": True, "references": True}, {"palette": True, "predictor": 0, "cache_bits": 2}):
             assert np.array_equal(webp.decode(webp.encode(image, **o)), image), o
     two = np.where(rng.random((4, 21, 1)) < 0.5, np.array([[[0, 0, 0, 255]]], np.uint8), np.array([[[255, 255, 255, 255]]], np.uint8))
