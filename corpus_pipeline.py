@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lakeloom.llm import common, decontam, langid, mixing, queries, simhash, tokens
+from lakeloom.llm import common, decontam, langid, mixing, nearcopies, queries, tokens
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -19,9 +19,9 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of linked fingerprints of five-word shingles, that with the least id; of rows that share this id, one."""
-    groups = simhash.near_duplicates(docs, shingle=5).filter("doc_id = component_id").select("doc_id").distinct()
-    return docs.join(groups, "doc_id", "left_semi").select(docs.columns).dropDuplicates(["doc_id"])
+    """One document of each group of near copies (five-word shingles, similarity 0.8 or more), that with the least id; of rows that share this id, one."""
+    kept = nearcopies.near_copies(docs).filter("doc_id = component_id").select("doc_id").distinct()
+    return docs.join(kept, "doc_id", "left_semi").select(docs.columns).dropDuplicates(["doc_id"])
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from xxhash import xxh64_intdigest
 
-from lakeloom.llm import golay, graph, queries, simhash
+from lakeloom.llm import golay, graph, nearcopies, queries, simhash
 
 
 def brute_print(text, k=3):
@@ -107,3 +107,82 @@ def test_components_of_paths_loops_and_nothing(spark):
     got = {r["node"]: r["component"] for r in graph.components(spark.createDataFrame(edges, "u bigint, v bigint")).collect()}
     assert got == {**{i: 100 for i in range(100, 201)}, 7: 7, 3: 3, 4: 3, 5: 3}
     assert graph.components(spark.createDataFrame([], "u bigint, v bigint")).count() == 0
+
+
+def brute_near_copies(docs, similarity=0.8):
+    """docs: [(id, text)], ids not null; id -> least id reached by links of whole texts' sets of five-word shingles."""
+
+    def words(text):
+        w = (text or "").encode().lower().split()
+        return frozenset(b" ".join(w[i : i + 5]) for i in range(max(1, len(w) - 4))) if w else frozenset()
+
+    sets = [(d, words(t)) for d, t in docs]
+    distinct = list({s for _, s in sets})
+    parent = list(range(len(distinct)))
+
+    def root(i):
+        while parent[i] != i:
+            i = parent[i]
+        return i
+
+    holders = {}
+    for i, s in enumerate(distinct):
+        shared = {}
+        for x in s:
+            for j in holders.setdefault(x, []):
+                shared[j] = shared.get(j, 0) + 1
+            holders[x].append(i)
+        for j, n in shared.items():
+            if n >= similarity * (len(s) + len(distinct[j]) - n):
+                parent[root(j)] = root(i)
+    where = {s: root(i) for i, s in enumerate(distinct)}
+    least = {}
+    for d, s in sets:
+        least[where[s]] = min(d, least.get(where[s], d))
+    return {(d, least[where[s]]) for d, s in sets}
+
+
+def test_near_copies_equal_brute_force(spark, sf):
+    docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text")
+    assert {tuple(r) for r in nearcopies.near_copies(docs).collect()} == brute_near_copies([tuple(r) for r in docs.collect()])
+
+
+def edited(base, edits, rng):
+    w = list(base)
+    for at in rng.choice(len(w), edits, replace=False):
+        w[at] = f"changed{rng.integers(1 << 40)}"
+    return " ".join(w)
+
+
+def test_near_copies_of_many_edits_and_a_large_group(spark):
+    rng = np.random.default_rng(6)
+    docs = []
+    for n in range(150):  # pairs of 300 words with up to 12 changed words: similarities from 0.67 to 1
+        base = [f"w{x}" for x in rng.integers(0, 5000, 300)]
+        docs += [(2 * n, " ".join(base)), (2 * n + 1, edited(base, n % 13, rng))]
+    hot = [f"h{x}" for x in rng.integers(0, 5000, 400)]
+    docs += [(1000 + n, edited(hot, 2, rng)) for n in range(200)]
+    got = {tuple(r) for r in nearcopies.near_copies(spark.createDataFrame(docs, "doc_id bigint, text string").repartition(4)).collect()}
+    want = brute_near_copies(docs)
+    assert {c for _, c in got} >= {c for _, c in want} and len(got - want) <= 2 and all(c == 1000 for d, c in got if d >= 1000)
+
+
+def test_pieces_of_a_bucket_stay_connected(monkeypatch):
+    import pyarrow as pa
+
+    monkeypatch.setattr(nearcopies, "PIECE", 50)
+    wide = np.random.default_rng(7).integers(0, 1 << 63, (3, 4), dtype=np.uint64)
+    for key in (4, 5):  # both directions
+        ids = np.arange(600)
+        rows = pa.RecordBatch.from_arrays([pa.array(np.full(600, key)), pa.array(ids), *(pa.array(wide[ids % 3, i].view(np.int64)) for i in range(4))], names=["key", "id", *nearcopies.WIDE])
+        edges = [e for b in nearcopies.close([rows.slice(a, 70) for a in range(0, 600, 70)]) for e in zip(b["u"].to_pylist(), b["v"].to_pylist(), strict=True)]
+        assert len(edges) == 597 and all(u % 3 == v % 3 for u, v in edges) and {x for e in edges for x in e} == set(range(600))
+
+
+def test_odd_rows_of_near_copies(spark, odd_docs, no_docs):
+    want = brute_near_copies([(r["doc_id"], r["text"]) for r in odd_docs.collect() if r["doc_id"] is not None])
+    assert {tuple(r) for r in nearcopies.near_copies(odd_docs).collect()} == want
+    assert nearcopies.near_copies(odd_docs).count() == odd_docs.filter("doc_id is not null").count()
+    assert nearcopies.near_copies(no_docs).count() == 0
+    with pytest.raises(ValueError):
+        nearcopies.near_copies(odd_docs, similarity=0.5)

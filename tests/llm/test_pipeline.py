@@ -14,7 +14,7 @@ ROOT = Path(__file__).resolve().parents[2]
 
 def test_stages_on_the_smallest_tables(spark, small):
     from test_decontam import brute
-    from test_duplicates import brute_components, brute_print
+    from test_duplicates import brute_near_copies
 
     docs = spark.read.parquet(f"{small}/documents.parquet")
     columns = docs.columns
@@ -29,7 +29,7 @@ def test_stages_on_the_smallest_tables(spark, small):
         if name == "language_id":
             assert sorted(ids) == sorted(r["doc_id"] for r in before if r["text"] and re.search(r"[^\W\d_]", r["text"]))
         elif name == "near_dedup":
-            assert sorted(ids) == sorted({c for _, _, c in brute_components([(r["doc_id"], brute_print(r["text"], 5)) for r in before])})
+            assert sorted(ids) == sorted({c for _, c in brute_near_copies([(r["doc_id"], r["text"]) for r in before])})
         elif name == "decontamination":
             share = {r["doc_id"]: brute(r["text"], items) for r in before}
             assert sorted(ids) == sorted(d for d, w in share.items() if w[1] <= 0.5 * w[0])
