@@ -1,4 +1,4 @@
-"""Near copies: texts whose sets of word shingles have a Jaccard similarity of 0.8 or more, by wide SimHash and Golay keys.
+"""Near copies: texts whose sets of word shingles have a Jaccard similarity of 0.8 or more, by wide SimHash and Golay keys, and then exactly.
 
 Similar texts differ in more bits of a SimHash than pigeonhole keys can bear: at a similarity of 0.8 each bit differs with
 a probability of 0.15. The fingerprint is therefore wide (256 bits), nine of its segments of 23 bits are decoded to the
@@ -6,6 +6,10 @@ indices of nearby Golay codewords (one or six, see golay), and each of these key
 shingles, which stands for the exact block that the short fingerprint has. Two texts of similarity 0.8 share a key of a
 segment with a probability of 0.6 * 0.8, so all nine miss them in 3 of 1,000 cases; at 0.85 in 3 of 10,000. Texts that share
 a key meet in a bucket, pairs of it that differ in more than 54 bits go, and the rest are verified on whole texts.
+
+These links are a start only. An exact pass (see closed) then compares what they have not joined: in any fixed order of all
+shingles, two sets of this similarity share a shingle among their first n - ceil(0.8 n) + 1 ones, so the texts that hold the
+same shingle there are compared until no untested pair crosses two components.
 """
 
 from __future__ import annotations
@@ -14,7 +18,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import common, golay
@@ -26,6 +30,10 @@ MAX_BITS = 54
 #: A larger bucket is handled in pieces, each compared with one member of every earlier tree.
 PIECE = 20_000
 WIDE, LEAST = [f"s{i}" for i in range(PARTS)], [f"m{i}" for i in range(TABLES)]
+#: Two sums that stand for the whole set of shingles: texts with equal ones are one node.
+WHOLE = ["w0", "w1"]
+#: Texts that frequent shingles are looked for in, and how many are kept. Both only set the order of shingles, never what is found.
+ORDER_TEXTS, ORDER_SHINGLES = 20_000, 100_000
 
 #: Fixed values of the splitmix64 generator.
 STEP, MUL_1, MUL_2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
@@ -46,16 +54,20 @@ def shingles(text: bytes | None, k: int) -> set[bytes]:
     return {b" ".join(words[i : i + k]) for i in range(max(1, len(words) - k + 1))} if words else set()
 
 
-def sketches(texts: list[bytes | None], k: int) -> tuple[np.ndarray, np.ndarray]:
-    """(wide fingerprints, least hashes); zeros for a text without words."""
+def hashes(text: bytes | None, k: int) -> np.ndarray:
+    """The hashes of a text's shingles, in no order."""
     from xxhash import xxh64_intdigest
 
-    wide, least = np.zeros((len(texts), PARTS), np.uint64), np.zeros((len(texts), TABLES), np.uint64)
-    for n, text in enumerate(texts):
-        found = shingles(text, k)
-        if not found:
+    found = shingles(text, k)
+    return np.fromiter((xxh64_intdigest(s, SEED) for s in found), np.uint64, len(found))
+
+
+def sketches(found: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """(wide fingerprints, least hashes) of texts' shingle hashes; zeros for a text without words."""
+    wide, least = np.zeros((len(found), PARTS), np.uint64), np.zeros((len(found), TABLES), np.uint64)
+    for n, h in enumerate(found):
+        if not len(h):
             continue
-        h = np.fromiter((xxh64_intdigest(s, SEED) for s in found), np.uint64, len(found))
         counts = np.zeros(64 * PARTS, np.int64)
         for at in range(0, len(h), 4096):
             rows = np.stack([mixed(h[at : at + 4096], i) for i in range(PARTS)], axis=1)
@@ -65,17 +77,46 @@ def sketches(texts: list[bytes | None], k: int) -> tuple[np.ndarray, np.ndarray]
     return wide, least
 
 
-def sketch(k: int):
-    """A UDF: text -> struct of the fingerprint's parts and the least hashes, as signed numbers."""
+def prefix(h: np.ndarray, similarity: float, frequent: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """The first hashes of a set by (how often they are in the sorted frequent ones, value): similar sets share one of these."""
+    if not len(h):
+        return h
+    often = np.zeros(len(h), np.int64)
+    if len(frequent):
+        at = np.minimum(np.searchsorted(frequent, h), len(frequent) - 1)
+        often = np.where(frequent[at] == h, counts[at], 0)
+    return h[np.lexsort((h, often))][: len(h) - int(np.ceil(similarity * len(h) - 1e-9)) + 1]
+
+
+def sketch(k: int, similarity: float, frequent: np.ndarray, counts: np.ndarray):
+    """A UDF: text -> struct of the fingerprint's parts, the least hashes and the sums of the set, as signed numbers, the set's size and its prefix."""
 
     def start():
         def run(texts: list[bytes | None]):
-            wide, least = sketches(texts, k)
-            return tuple(np.ascontiguousarray(c).view(np.int64) for c in (*wide.T, *least.T))
+            found = [hashes(t, k) for t in texts]
+            wide, least = sketches(found)
+            whole = np.array([[mixed(h, PARTS + TABLES + i).sum(dtype=np.uint64) for i in range(2)] for h in found], np.uint64).reshape(-1, 2)
+            first = pa.array([prefix(h, similarity, frequent, counts).view(np.int64) for h in found], pa.list_(pa.int64()))
+            return (*(np.ascontiguousarray(c).view(np.int64) for c in (*wide.T, *least.T, *whole.T)), np.array([len(h) for h in found], np.int32), first)
 
         return run
 
-    return common.text_udf(start, ", ".join(f"{c} bigint" for c in WIDE + LEAST))
+    return common.text_udf(start, ", ".join(f"{c} bigint" for c in WIDE + LEAST + WHOLE) + ", n int, first array<bigint>")
+
+
+def frequent_shingles(texts: DataFrame, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """(hashes in order, counts) of shingles that several of some texts hold. They come last in the order of shingles; the order changes the cost only."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [hashes(t, k) for t in batch.column("text").cast(pa.binary()).to_pylist()]
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(found).view(np.int64) if found else [], pa.int64())], names=["h"])
+
+    some = common.share_of(texts, ORDER_TEXTS / max(1, texts.count()), SEED, "id").select("text").mapInArrow(run, "h bigint")
+    rows = some.groupBy("h").count().filter("count > 2").orderBy(F.desc("count"), "h").limit(ORDER_SHINGLES).toPandas()
+    h, counts = rows["h"].to_numpy(np.int64).view(np.uint64), rows["count"].to_numpy(np.int64)
+    order = np.argsort(h)
+    return h[order], counts[order]
 
 
 def bucket_keys(wide: np.ndarray, least: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -177,27 +218,69 @@ def verified(k: int, similarity: float):
     return run
 
 
+def links_of(edges: DataFrame, texts: DataFrame, k: int, similarity: float) -> DataFrame:
+    """The edges (u, v) whose whole texts (id, text) are similar."""
+    ends = edges.select(F.col("u").alias("id")).union(edges.select(F.col("v").alias("id"))).distinct()
+    ends = common.stored(texts.join(ends, "id", "left_semi").distinct(), "texts")
+    pairs = edges.join(ends.select(F.col("id").alias("u"), F.col("text").alias("a")), "u").join(ends.select(F.col("id").alias("v"), F.col("text").alias("b")), "v")
+    return common.stored(pairs.select("u", "v", "a", "b").mapInArrow(verified(k, similarity), "u bigint, v bigint"), "links")
+
+
+def closed(classes: DataFrame, texts: DataFrame, tested: DataFrame, links: DataFrame, k: int, similarity: float) -> DataFrame:
+    """All links needed: those given, and more until no two similar texts are in different components.
+
+    Texts that share a shingle of their prefixes meet in a bucket, in which each has a rank (texts whose prefix others share
+    most come first, as the origin of a group of copies does). Round r compares the ranks from 2^r - 1 up to 2^(r+1) - 2 with
+    all later ones of another component, so each pair is compared in the round of its earlier rank or is joined by then. Pairs
+    whose sizes or whose places of the shingle rule the similarity out are not compared: of a pair's first common shingle both
+    bounds hold.
+    """
+    held = Window.partitionBy("key")
+    met = classes.filter("n > 0").select("id", "n", F.posexplode("first").alias("pos", "key"))
+    met = common.stored(met.withColumn("size", F.count(F.lit(1)).over(held)).filter("size > 1"), "met")
+    shared = met.groupBy("id", "n").agg((F.count(F.lit(1)) / (F.col("n") - F.ceil(F.col("n") * similarity - 1e-9) + 1)).alias("shared")).drop("n")
+    met = common.stored(met.join(shared, "id").withColumn("rank", F.row_number().over(held.orderBy(F.desc("shared"), "id")) - 1).drop("shared"), "ranked")
+    low = 0
+    while True:
+        known = components(links)
+        now = met.drop("component").join(known.withColumnRenamed("node", "id"), "id", "left").withColumn("component", F.coalesce("component", "id"))
+        open_keys = now.groupBy("key").agg(F.min("component").alias("a"), F.max("component").alias("b")).filter("a < b").select("key")
+        met = common.stored(now.filter(F.col("size") > low + 1).join(open_keys, "key", "left_semi"), "open")
+        most = met.agg(F.max("size")).first()[0]
+        if most is None:
+            return links
+        high = 2 * low + 1
+        x, y = (met.select("key", *(F.col(c).alias(f"{c}_{side}") for c in ("id", "n", "pos", "rank", "component"))) for side in "xy")
+        pairs = x.filter(F.col("rank_x").between(low, high - 1)).join(y.filter(F.col("rank_y") > low), "key").filter("rank_x < rank_y and component_x <> component_y")
+        both = F.least(F.expr("n_x - pos_x"), F.expr("n_y - pos_y"))  # the shared one and all after it
+        pairs = pairs.filter(F.least("n_x", "n_y") >= F.greatest("n_x", "n_y") * similarity - 1e-9)
+        pairs = pairs.filter(both >= (F.col("n_x") + F.col("n_y")) * (similarity / (1 + similarity)) - 1e-9)
+        pairs = pairs.select(F.least("id_x", "id_y").alias("u"), F.greatest("id_x", "id_y").alias("v")).distinct()
+        pairs = common.stored(pairs.join(tested, ["u", "v"], "left_anti"), "pairs")
+        tested, links = tested.union(pairs), links.union(links_of(pairs, texts, k, similarity))
+        low = high
+
+
 def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8) -> DataFrame:
     """One row per row of docs with an id: id, component_id (least id of the texts that links of this similarity reach).
 
-    Texts without words (null ones too) are one component. Rows without an id are left out. Texts with equal fingerprints are
-    one node, whose text is that of its least id; where rows with different texts share this id, any of them may link. The
-    keys are made for similarities of 0.8 or more; less is refused. Every link is verified on whole texts; a component found
-    by links of a bucket's tree may miss one whose only similar text was reached through another.
+    Texts without words (null ones too) are one component. Rows without an id are left out. Texts with equal sets of shingles
+    are one node, whose text is that of its least id; where rows with different texts share this id, any of them may link.
+    Every link is verified on whole texts, and every two texts of this similarity are in one component (shingles count as
+    equal where their 64-bit hashes are). The keys are made for similarities of 0.8 or more; less is refused.
     """
     if not 0.8 <= similarity <= 1:
         raise ValueError("the keys find similarities of 0.8 or more")
     common.prepare(docs.sparkSession)
     texts = docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).alias("text")).filter("id is not null")
-    rows = common.stored(texts.select("id", sketch(shingle)("text").alias("f")).select("id", "f.*"), "sketches")
-    classes = common.stored(rows.groupBy(*WIDE).agg(F.min("id").alias("id"), *(F.min(c).alias(c) for c in LEAST)), "classes")
+    frequent = frequent_shingles(texts, shingle)
+    rows = common.stored(texts.select("id", sketch(shingle, similarity, *frequent)("text").alias("f")).select("id", "f.*"), "sketches")
+    classes = rows.groupBy(*WHOLE, "n").agg(F.min("id").alias("id"), *(F.min(c).alias(c) for c in WIDE + LEAST), F.first("first").alias("first"))
+    classes = common.stored(classes, "classes")
     buckets = classes.filter(" or ".join(f"{c} <> 0" for c in WIDE)).mapInArrow(keyed, f"key bigint, id bigint, {', '.join(f'{c} bigint' for c in WIDE)}")
     edges = buckets.repartition("key").sortWithinPartitions("key", "id").mapInArrow(close, "u bigint, v bigint")
     edges = common.stored(edges.filter("u <> v").distinct(), "candidates")
-    ends = edges.select(F.col("u").alias("id")).union(edges.select(F.col("v").alias("id"))).distinct()
-    ends = common.stored(texts.join(ends, "id", "left_semi").distinct(), "texts")
-    pairs = edges.join(ends.select(F.col("id").alias("u"), F.col("text").alias("a")), "u").join(ends.select(F.col("id").alias("v"), F.col("text").alias("b")), "v")
-    links = pairs.select("u", "v", "a", "b").mapInArrow(verified(shingle, similarity), "u bigint, v bigint")
+    links = closed(classes, texts, edges, links_of(edges, texts, shingle, similarity), shingle, similarity)
     groups = components(links).withColumnRenamed("node", "id")
-    known = common.stored(classes.join(groups, "id", "left").select(*WIDE, F.coalesce("component", "id").alias("component_id")), "members")
-    return rows.join(known, WIDE).select(F.col("id").alias(id_col), "component_id")
+    known = common.stored(classes.join(groups, "id", "left").select(*WHOLE, "n", F.coalesce("component", "id").alias("component_id")), "members")
+    return rows.join(known, [*WHOLE, "n"]).select(F.col("id").alias(id_col), "component_id")

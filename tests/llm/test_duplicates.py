@@ -186,3 +186,12 @@ def test_odd_rows_of_near_copies(spark, odd_docs, no_docs):
     assert nearcopies.near_copies(no_docs).count() == 0
     with pytest.raises(ValueError):
         nearcopies.near_copies(odd_docs, similarity=0.5)
+
+
+def test_copies_that_only_their_base_links(spark):
+    rng = np.random.default_rng(8)
+    base = [f"b{x}" for x in rng.integers(0, 5000, 300)]
+    docs = [(n, edited(base, 6, rng)) for n in range(300)]  # base and copy 0.82, copy and copy about 0.70
+    docs[150] = (150, " ".join(base))
+    got = {tuple(r) for r in nearcopies.near_copies(spark.createDataFrame(docs, "doc_id bigint, text string").repartition(4)).collect()}
+    assert got == brute_near_copies(docs) and {c for _, c in got} == {0}
