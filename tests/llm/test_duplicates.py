@@ -195,3 +195,13 @@ def test_copies_that_only_their_base_links(spark):
     docs[150] = (150, " ".join(base))
     got = {tuple(r) for r in nearcopies.near_copies(spark.createDataFrame(docs, "doc_id bigint, text string").repartition(4)).collect()}
     assert got == brute_near_copies(docs) and {c for _, c in got} == {0}
+
+
+def test_short_texts_of_exactly_this_similarity(spark):
+    rng = np.random.default_rng(9)
+    docs = []
+    for n in range(500):
+        words = [f"s{x}" for x in rng.integers(0, 100_000, 9)]
+        docs += [(2 * n, " ".join(words[:8])), (2 * n + 1, " ".join(words))]  # 4 and 5 shingles
+    got = {tuple(r) for r in nearcopies.near_copies(spark.createDataFrame(docs, "doc_id bigint, text string").repartition(4)).collect()}
+    assert got == brute_near_copies(docs) and len({c for _, c in got}) == 500
