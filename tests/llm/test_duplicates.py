@@ -205,3 +205,25 @@ def test_short_texts_of_exactly_this_similarity(spark):
         docs += [(2 * n, " ".join(words[:8])), (2 * n + 1, " ".join(words))]  # 4 and 5 shingles
     got = {tuple(r) for r in nearcopies.near_copies(spark.createDataFrame(docs, "doc_id bigint, text string").repartition(4)).collect()}
     assert got == brute_near_copies(docs) and len({c for _, c in got}) == 500
+
+
+def test_pieces_whose_members_differ_from_their_root(spark, monkeypatch):
+    def close(batches):
+        from lakeloom.llm import nearcopies as inner
+
+        before, inner.PIECE = inner.PIECE, 1
+        yield from inner.close(b.slice(i, 1) for b in batches for i in range(b.num_rows))
+        inner.PIECE = before
+
+    rng = np.random.default_rng(10)
+    words = [f"c{x}" for x in rng.integers(0, 5000, 300)]
+    texts = []
+    for n in range(150):  # each text differs in four words from the one before, so only neighbours are similar
+        words[2 * n : 2 * n + 1] = [f"new{n}"]
+        for at in rng.choice(300, 3, replace=False):
+            words[at] = f"new{n}-{at}"
+        texts.append(" ".join(words))
+    docs = list(zip(rng.permutation(150).tolist(), texts, strict=True))
+    monkeypatch.setattr(nearcopies, "close", close)
+    got = {tuple(r) for r in nearcopies.near_copies(spark.createDataFrame(docs, "doc_id bigint, text string").repartition(4)).collect()}
+    assert got == brute_near_copies(docs) and {c for _, c in got} == {0}
