@@ -454,6 +454,12 @@ def keyword_classifier(spark, d):
     return _titles(spark, d)
 
 
+@query()
+def keyword_classifier_text(spark, d):
+    """ML1, ML2 over whole texts as they are; the two regex dialects differ on other letters, so a test holds it against brute force"""
+    return t(spark, d, "documents").select("doc_id", titles.keyword_class("text").alias("class"))
+
+
 def _judged(spark, d):
     return t(spark, d, "labels").filter("toxic is not null and quality is not null").select("doc_id", F.col("quality").cast("string").alias("a"), F.when(F.col("doc_id") % 4 == 0, F.col("toxic")).otherwise(F.col("quality")).cast("string").alias("b"))
 

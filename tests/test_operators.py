@@ -188,3 +188,26 @@ def test_dimensions(spark):
     assert [r["date_key"] for r in d][:2] == [20240228, 20240229] and d[-1]["day_name"] == "Sunday" and d[-1]["is_weekend"] and len(d) == 5
     e = spark.createDataFrame([(1, "old", 1, 1), (1, "new", 2, 2), (1, "tie", 2, 3), (None, "x", 9, 9)], "k int, n string, t int, id int")
     assert star.dim_latest(e, "k", ["n"], "t", "id").drop("sk").collect() == [(1, "tie", 1, 2)]
+
+
+def test_keywords_anywhere_in_a_text_count(spark, tmp_path):
+    import re
+
+    from lakeloom.plans import relational
+
+    late = "plain words " * 20
+    texts = [None, "", late, late + "Crash", late + "readme", late + "été bump", "x" * 80 + " new", "docs: " + late, late + "été", late * 50 + "merge"]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").write.parquet(f"{tmp_path}/documents.parquet")
+
+    def brute(text):
+        if text is None:
+            return None
+        x = text.strip(" ").lower()
+        if re.search(titles.DEPENDENCY, x, re.ASCII):
+            return "chore"
+        if m := re.search(titles.PREFIX, x, re.ASCII):
+            return titles.PREFIX_CLASS.get(m[1], "chore")
+        return next((n for n, p in titles.KEYWORDS if re.search(p, x, re.ASCII)), titles.OTHER)
+
+    got = {r["doc_id"]: r["class"] for r in relational.keyword_classifier_text(spark, str(tmp_path)).collect()}
+    assert got == {i: brute(x) for i, x in enumerate(texts)} and got[3] == "bug" and got[9] == "chore"
