@@ -19,9 +19,11 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies (five-word shingles, similarity 0.8 or more), that with the least id; of rows that share this id, one."""
-    kept = nearcopies.near_copies(docs).filter("doc_id = component_id").select("doc_id").distinct()
-    return docs.join(kept, "doc_id", "left_semi").select(docs.columns).dropDuplicates(["doc_id"])
+    """One document of each group of near copies (five-word shingles, similarity 0.8 or more), that with the least id; one without an id only where none has an id. Different texts with one id all stay."""
+    rows = common.stored(docs.withColumn("__row", F.monotonically_increasing_id()), "rows")
+    members = rows.select("__row", "doc_id").join(nearcopies.near_copies(rows, "__row"), "__row")
+    kept = members.groupBy("component_id").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "__row")).alias("least")).select("least.__row")
+    return rows.join(kept, "__row", "left_semi").select(docs.columns)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -32,8 +34,9 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def source_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as often as the mix takes it, from none to three times."""
-    copies = mixing.mix(docs).filter("copies > 0").select("doc_id", "copies").groupBy("doc_id").agg(F.max("copies").alias("copies"))
-    taken = docs.join(copies, "doc_id").withColumn("__copy", F.explode(F.sequence(F.lit(1), "copies")))
+    copies = mixing.mix(docs).filter("copies > 0").groupBy(F.col("doc_id").alias("__id"), "row_hash").agg(F.max("copies").alias("copies"))
+    rows = docs.withColumn("__hash", F.xxhash64(F.lit(23), "doc_id", "text"))
+    taken = rows.join(copies, (F.col("__hash") == F.col("row_hash")) & F.col("doc_id").eqNullSafe(F.col("__id"))).withColumn("__copy", F.explode(F.sequence(F.lit(1), "copies")))
     return taken.select(docs.columns)
 
 

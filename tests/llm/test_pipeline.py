@@ -7,6 +7,8 @@ import sys
 from pathlib import Path
 
 import corpus_pipeline
+from pyspark.sql import functions as F
+
 from lakeloom.llm import common
 
 ROOT = Path(__file__).resolve().parents[2]
@@ -53,6 +55,16 @@ def test_odd_rows_pass_all_stages(spark, odd_docs, small):
     assert docs.count() == 0
 
 
+def test_rows_without_an_id_or_with_one_id_stay(spark):
+    texts = [(None, "alpha beta gamma delta epsilon zeta"), (None, "one two three four five six seven"), (5, "red green blue white black grey"), (5, "north south east west up down"), (6, "RED green blue white black grey")]
+    docs = spark.createDataFrame([(d, t, "en", "a", len(t)) for d, t in texts], "doc_id bigint, text string, lang string, source string, n_chars bigint").repartition(2)
+    got = corpus_pipeline.near_dedup(spark, docs, None)
+    assert sorted((r["text"] for r in got.collect())) == sorted(t for _, t in texts[:4])
+    of_row = lambda df: sorted(tuple(r) for r in df.groupBy(F.xxhash64(F.lit(23), "doc_id", "text").alias("h")).count().collect())
+    copies = corpus_pipeline.mixing.mix(docs).filter("copies > 0").select("row_hash", "copies").collect()
+    assert of_row(corpus_pipeline.source_mixing(spark, docs, None)) == sorted(tuple(r) for r in copies)
+
+
 def test_the_rest_imports_without_the_subpackage(tmp_path):
     shutil.copytree(ROOT, tmp_path / "r", ignore=shutil.ignore_patterns(".git", "__pycache__", "llm", "corpus_pipeline.py"))
     said = subprocess.run([sys.executable, "-c", "import __spark_entry__ as e; assert not any(k.startswith('op') for k in e.queries()); print('fine')"], cwd=tmp_path / "r", env={"PATH": "/usr/bin"}, capture_output=True, text=True)
