@@ -218,12 +218,19 @@ def verified(k: int, similarity: float):
     return run
 
 
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """As common.stored; a collection on the driver then lets Spark delete the shuffle files of tables that are done."""
+    out = common.stored(df, name)
+    df.sparkSession.sparkContext._jvm.System.gc()
+    return out
+
+
 def links_of(edges: DataFrame, texts: DataFrame, k: int, similarity: float) -> DataFrame:
     """The edges (u, v) whose whole texts (id, text) are similar."""
     ends = edges.select(F.col("u").alias("id")).union(edges.select(F.col("v").alias("id"))).distinct()
-    ends = common.stored(texts.join(ends, "id", "left_semi").distinct(), "texts")
+    ends = stored(texts.join(ends, "id", "left_semi").dropDuplicates(["id", "text"]), "texts")
     pairs = edges.join(ends.select(F.col("id").alias("u"), F.col("text").alias("a")), "u").join(ends.select(F.col("id").alias("v"), F.col("text").alias("b")), "v")
-    return common.stored(pairs.select("u", "v", "a", "b").mapInArrow(verified(k, similarity), "u bigint, v bigint"), "links")
+    return stored(pairs.select("u", "v", "a", "b").mapInArrow(verified(k, similarity), "u bigint, v bigint"), "links")
 
 
 def closed(classes: DataFrame, texts: DataFrame, tested: DataFrame, links: DataFrame, k: int, similarity: float) -> DataFrame:
@@ -237,15 +244,16 @@ def closed(classes: DataFrame, texts: DataFrame, tested: DataFrame, links: DataF
     """
     held = Window.partitionBy("key")
     met = classes.filter("n > 0").select("id", "n", F.posexplode("first").alias("pos", "key"))
-    met = common.stored(met.withColumn("size", F.count(F.lit(1)).over(held)).filter("size > 1"), "met")
+    met = stored(met.withColumn("size", F.count(F.lit(1)).over(held)).filter("size > 1"), "met")
     shared = met.groupBy("id", "n").agg((F.count(F.lit(1)) / (F.col("n") - F.ceil(F.col("n") * similarity - 1e-9) + 1)).alias("shared")).drop("n")
-    met = common.stored(met.join(shared, "id").withColumn("rank", F.row_number().over(held.orderBy(F.desc("shared"), "id")) - 1).drop("shared"), "ranked")
+    met = stored(met.join(shared, "id").withColumn("rank", F.row_number().over(held.orderBy(F.desc("shared"), "id")) - 1).drop("shared"), "ranked")
+    texts = stored(texts.join(met.select("id").distinct(), "id", "left_semi"), "meeting")  # rounds then shuffle only these
     low = 0
     while True:
         known = components(links)
         now = met.drop("component").join(known.withColumnRenamed("node", "id"), "id", "left").withColumn("component", F.coalesce("component", "id"))
         open_keys = now.groupBy("key").agg(F.min("component").alias("a"), F.max("component").alias("b")).filter("a < b").select("key")
-        met = common.stored(now.filter(F.col("size") > low + 1).join(open_keys, "key", "left_semi"), "open")
+        met = stored(now.filter(F.col("size") > low + 1).join(open_keys, "key", "left_semi"), "open")
         most = met.agg(F.max("size")).first()[0]
         if most is None:
             return links
@@ -256,7 +264,7 @@ def closed(classes: DataFrame, texts: DataFrame, tested: DataFrame, links: DataF
         pairs = pairs.filter(F.least("n_x", "n_y") >= F.greatest("n_x", "n_y") * similarity - 1e-9)
         pairs = pairs.filter(both >= (F.col("n_x") + F.col("n_y")) * (similarity / (1 + similarity)) - 1e-9)
         pairs = pairs.select(F.least("id_x", "id_y").alias("u"), F.greatest("id_x", "id_y").alias("v")).distinct()
-        pairs = common.stored(pairs.join(tested, ["u", "v"], "left_anti"), "pairs")
+        pairs = stored(pairs.join(tested, ["u", "v"], "left_anti"), "pairs")
         tested, links = tested.union(pairs), links.union(links_of(pairs, texts, k, similarity))
         low = high
 
@@ -274,13 +282,13 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     common.prepare(docs.sparkSession)
     texts = docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).alias("text")).filter("id is not null")
     frequent = frequent_shingles(texts, shingle)
-    rows = common.stored(texts.select("id", sketch(shingle, similarity, *frequent)("text").alias("f")).select("id", "f.*"), "sketches")
+    rows = stored(texts.select("id", sketch(shingle, similarity, *frequent)("text").alias("f")).select("id", "f.*"), "sketches")
     classes = rows.groupBy(*WHOLE, "n").agg(F.min("id").alias("id"), *(F.min(c).alias(c) for c in WIDE + LEAST), F.first("first").alias("first"))
-    classes = common.stored(classes, "classes")
+    classes = stored(classes, "classes")
     buckets = classes.filter(" or ".join(f"{c} <> 0" for c in WIDE)).mapInArrow(keyed, f"key bigint, id bigint, {', '.join(f'{c} bigint' for c in WIDE)}")
     edges = buckets.repartition("key").sortWithinPartitions("key", "id").mapInArrow(close, "u bigint, v bigint")
-    edges = common.stored(edges.filter("u <> v").distinct(), "candidates")
+    edges = stored(edges.filter("u <> v").distinct(), "candidates")
     links = closed(classes, texts, edges, links_of(edges, texts, shingle, similarity), shingle, similarity)
     groups = components(links).withColumnRenamed("node", "id")
-    known = common.stored(classes.join(groups, "id", "left").select(*WHOLE, "n", F.coalesce("component", "id").alias("component_id")), "members")
+    known = stored(classes.join(groups, "id", "left").select(*WHOLE, "n", F.coalesce("component", "id").alias("component_id")), "members")
     return rows.join(known, [*WHOLE, "n"]).select(F.col("id").alias(id_col), "component_id")
