@@ -13,7 +13,8 @@ from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: Rows and bytes of an Arrow batch: a worker never holds more text than this (one longer text excepted).
@@ -21,19 +22,76 @@ BATCH_ROWS, BATCH_BYTES = 500, 3 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir. Where it is unset (tests on one machine), a temporary one."""
-    if not (root := spark.conf.get("spark.checkpoint.dir", None)):
-        root = f"file://{tempfile.mkdtemp(prefix='lakeloom-')}"
-        atexit.register(shutil.rmtree, root.removeprefix("file://"), True)
-        spark.conf.set("spark.checkpoint.dir", root)
-    return root.rstrip("/")
+    """The folder that driver and executors share: spark.checkpoint.dir. Where it is unset (tests on one machine), a temporary one, the same for the whole process."""
+    if root := spark.conf.get("spark.checkpoint.dir", None):
+        return root.rstrip("/")
+    if not _OWN_DIR:
+        _OWN_DIR.append(tempfile.mkdtemp(prefix="lakeloom-"))
+        atexit.register(shutil.rmtree, _OWN_DIR[0], True)
+    return f"file://{_OWN_DIR[0]}"
+
+
+_OWN_DIR: list[str] = []
+#: Tables that stored() wrote and nobody released yet: path -> session.
+_TABLES: dict[str, SparkSession] = {}
 
 
 def stored(df: DataFrame, name: str, **options: str) -> DataFrame:
     """df written as a Parquet table in the shared folder and read again: lineage ends here, nothing is computed twice."""
     path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    _TABLES[path] = df.sparkSession
     df.write.options(**options).parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._stored_at = path
+    return out
+
+
+def release(*tables: DataFrame) -> None:
+    """Delete tables of stored() that nothing will read again; any other DataFrame is left alone."""
+    for df in tables:
+        if path := getattr(df, "_stored_at", None):
+            _delete(path)
+
+
+def tables() -> set[str]:
+    """The paths of all tables that are not released; see sweep."""
+    return set(_TABLES)
+
+
+def sweep(keep: set[str] = frozenset()) -> None:
+    """Delete all tables but these. An operator's result may read its tables until it has been written, so only the caller knows when."""
+    for path in set(_TABLES) - set(keep):
+        _delete(path)
+
+
+def _delete(path: str) -> None:
+    spark = _TABLES.pop(path, None)
+    if spark is None:
+        return
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(at, True)
+
+
+def fresh(name: str, *used: DataFrame) -> str:
+    """A column name that none of these tables has."""
+    taken = {c.lower() for df in used for c in df.columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
+
+
+def numbered(docs: DataFrame, name: str) -> DataFrame:
+    """docs with a number of each row, different for all rows and the same whenever it is computed.
+
+    Rows of files are numbered by file and place, without a copy; anything else is written as a table first.
+    """
+    try:
+        places = docs.select("*", F.col("_metadata.file_path").alias(path := fresh("path", docs)), F.col("_metadata.row_index").alias(at := fresh("row_at", docs)))
+    except AnalysisException:
+        return stored(docs.withColumn(name, F.monotonically_increasing_id()), "rows")
+    files = places.select(path).distinct()
+    files = stored(files.withColumn(number := fresh("file_number", docs), F.row_number().over(Window.orderBy(path)).cast("bigint")), "files")
+    return places.join(files, path).withColumn(name, F.shiftleft(number, 40) + F.col(at)).drop(path, at, number)
 
 
 def prepare(spark: SparkSession) -> None:
@@ -63,6 +121,19 @@ def _send_package(spark: SparkSession) -> None:
 _SENT: set[str] = set()
 
 
+def gathered(batches: Iterator[pa.RecordBatch], rows: int) -> Iterator[pa.RecordBatch]:
+    """The same rows in batches of about this many; for narrow rows, whose batches need not be as small as those of texts."""
+    held, count = [], 0
+    for batch in batches:
+        held.append(batch)
+        count += batch.num_rows
+        if count >= rows:
+            yield pa.concat_batches(held)
+            held, count = [], 0
+    if held:
+        yield pa.concat_batches(held)
+
+
 def text_udf(function, schema: str):
     """function(list of UTF-8 bytes or None, one per row) -> dict or tuple of columns, as an Arrow UDF that returns a struct.
 

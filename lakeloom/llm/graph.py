@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import release, stored
 
 
 def _stars(edges: DataFrame, large: bool) -> DataFrame:
@@ -37,9 +37,12 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
         if state == before or state[0] == 0:
             break
         before = state
-        now = stored(_stars(_stars(now, True), False), "stars")
+        old, now = now, stored(_stars(_stars(now, True), False), "stars")
+        release(old)
     else:
         raise RuntimeError(f"components did not settle in {most_rounds} rounds")
     nodes = now.select(F.col("u").alias("node"), F.col("v").alias("component"))
     roots = now.select(F.col("v").alias("node")).union(loops).distinct().withColumn("component", F.col("node"))
-    return nodes.union(roots).groupBy("node").agg(F.min("component").alias("component"))
+    out = stored(nodes.union(roots).groupBy("node").agg(F.min("component").alias("component")), "components")
+    release(now)
+    return out

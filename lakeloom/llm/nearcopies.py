@@ -3,32 +3,35 @@
 Similar texts differ in more bits of a SimHash than pigeonhole keys can bear: at a similarity of 0.8 each bit differs with
 a probability of 0.15. The fingerprint is therefore wide (256 bits), nine of its segments of 23 bits are decoded to the
 indices of nearby Golay codewords (one or six, see golay), and each of these keys is joined to one least hash of the
-shingles, which stands for the exact block that the short fingerprint has. Two texts of similarity 0.8 share a key of a
-segment with a probability of 0.6 * 0.8, so all nine miss them in 3 of 1,000 cases; at 0.85 in 3 of 10,000. Texts that share
-a key meet in a bucket, pairs of it that differ in more than 54 bits go, and the rest are verified on whole texts.
+shingles, which stands for the exact block that the short fingerprint has. Texts that share a key meet in a bucket, where
+each is tied to the first one within 54 bits, before the shuffle already; these ties are verified on whole texts.
 
-These links are a start only. An exact pass (see closed) then compares what they have not joined: in any fixed order of all
+These links find most groups but are a start only. An exact pass (see closed) then compares what they have not joined: in any fixed order of all
 shingles, two sets of this similarity share a shingle among their first n - ceil(0.8 n) + 1 ones, so the texts that hold the
 same shingle there are compared until no untested pair crosses two components.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import common, golay
 from .graph import components
 
 SEED, PARTS, TABLES = 42, 4, 9
-#: Bits that may differ before whole texts are compared. At a similarity of 0.8, 39 differ on average, with a deviation of 6.
+#: Bits that may differ between a member of a bucket and the one it is tied to. Pairs beyond are left to the exact pass.
 MAX_BITS = 54
-#: A larger bucket is handled in pieces, each compared with one member of every earlier tree.
-PIECE = 20_000
+#: Rows that are tied at once; this bounds memory and changes no result.
+ROWS = 100_000
+#: Round r of the exact pass takes up the first BASE**r members of a bucket, or about as many.
+BASE, LEVELS = 8, 7
 WIDE, LEAST = [f"s{i}" for i in range(PARTS)], [f"m{i}" for i in range(TABLES)]
 #: Two sums that stand for the whole set of shingles: texts with equal ones are one node.
 WHOLE = ["w0", "w1"]
@@ -136,70 +139,73 @@ def columns(batch: pa.RecordBatch, names: list[str]) -> np.ndarray:
     return np.stack([batch.column(c).to_numpy(zero_copy_only=False).view(np.uint64) for c in names], axis=1)
 
 
-def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        wide = columns(batch, WIDE)
-        row, key = bucket_keys(wide, columns(batch, LEAST))
-        parts = [pa.array(wide[row, i].view(np.int64)) for i in range(PARTS)]
-        yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), batch.column("id").take(pa.array(row)), *parts], names=["key", "id", *WIDE])
+def ties(key: np.ndarray, n: np.ndarray, wide: np.ndarray, similarity: float) -> np.ndarray:
+    """Of rows sorted by key: the place of the first row of its bucket that each is close to, its own where there is none.
 
-
-def trees(ids: np.ndarray, wide: np.ndarray) -> tuple[list[tuple[int, int]], np.ndarray]:
-    """Edges of a spanning forest of a bucket's close fingerprints, and the place of each tree's root."""
-    edges: list[tuple[int, int]] = []
-    roots, left = [], np.arange(len(ids))
+    Every pass compares all rows left with the first one left of their buckets.
+    """
+    lead, left = np.arange(len(key)), np.arange(len(key))
     while len(left):
-        roots.append(int(left[0]))
-        stack, left = [int(left[0])], left[1:]
-        while stack and len(left):
-            u = stack.pop()
-            near = np.bitwise_count(wide[left] ^ wide[u]).sum(1) <= MAX_BITS
-            if near.any():
-                found = left[near].tolist()
-                edges.extend((int(ids[u]), int(ids[v])) for v in found)
-                stack += found
-                left = left[~near]
-    return edges, np.array(roots, np.int64)
-
-
-def close(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Edges of the buckets of rows (key, id, fingerprint) that are sorted by key; holds one piece of a bucket and its trees' roots."""
-    key, ids, wide = None, np.zeros(0, np.int64), np.zeros((0, PARTS), np.uint64)
-    edges: list[tuple[int, int]] = []
-
-    def flush() -> np.ndarray:
-        if len(ids) < 2:
-            return np.arange(len(ids))
-        found, roots = trees(ids[::-1], wide[::-1]) if int(key) & 1 else trees(ids, wide)  # other roots in half of the buckets
-        edges.extend(found)
-        return len(ids) - 1 - roots if int(key) & 1 else roots
-
-    def out() -> pa.RecordBatch:
-        pairs = np.array(edges, np.int64).reshape(-1, 2)
+        first = np.flatnonzero(np.append(True, key[left][1:] != key[left][:-1]))
+        head = left[np.repeat(first, np.diff(first, append=len(left)))]
+        near = np.bitwise_count(wide[left] ^ wide[head]).sum(1) <= MAX_BITS
+        near &= np.minimum(n[left], n[head]) >= similarity * np.maximum(n[left], n[head]) - 1e-9
+        lead[left[near]] = head[near]
+        left = left[~near]
+    return lead
+
+
+def tied(key: np.ndarray, ids: np.ndarray, n: np.ndarray, wide: np.ndarray, similarity: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(places of those that are tied to none, ids of the tied ones, ids they are tied to)."""
+    lead = ties(key, n, wide, similarity)
+    free = lead == np.arange(len(key))
+    return np.flatnonzero(free), ids[~free], ids[lead[~free]]
+
+
+def keyed(similarity: float):
+    """Sketches to rows (key, id, to, n, fingerprint): members of buckets, and ties (id, to) found already among the rows at hand.
+
+    So a bucket that holds many of all rows sends few of them through the shuffle.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in common.gathered(batches, ROWS // (TABLES * 2)):
+            wide = columns(batch, WIDE)
+            row, key = bucket_keys(wide, columns(batch, LEAST))
+            order = np.argsort(key, kind="stable")
+            row, key = row[order], key[order].view(np.int64)
+            ids, n = batch.column("id").to_numpy(), batch.column("n").to_numpy()[row]
+            free, u, v = tied(key, ids[row], n, wide[row], similarity)
+            parts = [pa.array(wide[row[free], i].view(np.int64)) for i in range(PARTS)]
+            yield pa.RecordBatch.from_arrays([pa.array(key[free]), pa.array(ids[row[free]]), pa.nulls(len(free), pa.int64()), pa.array(n[free]), *parts], names=["key", "id", "to", "n", *WIDE])
+            u, v = np.unique(np.stack([u, v], axis=1).reshape(-1, 2), axis=0).T
+            none = [pa.nulls(len(u), pa.int64())] * PARTS
+            yield pa.RecordBatch.from_arrays([pa.array(mixed(u.view(np.uint64), 0).view(np.int64)), pa.array(u), pa.array(v), pa.nulls(len(u), pa.int32()), *none], names=["key", "id", "to", "n", *WIDE])
+
+    return run
+
+
+def close(similarity: float):
+    """Edges of rows of keyed() that are sorted by key. Of the bucket that may go on, it keeps those tied to none."""
+
+    def edges(u, v) -> pa.RecordBatch:
+        pairs = np.stack([u, v], axis=1).reshape(-1, 2)
         return pa.RecordBatch.from_arrays([pa.array(pairs.min(1)), pa.array(pairs.max(1))], names=["u", "v"])
 
-    for batch in batches:
-        k, i, w = batch.column("key").to_numpy(zero_copy_only=False), batch.column("id").to_numpy(zero_copy_only=False), columns(batch, WIDE)
-        starts = np.flatnonzero(np.diff(k)) + 1
-        first, last = np.concatenate([[0], starts]), np.append(starts, len(k))
-        busy = last - first > 1
-        if len(k):
-            busy[[0, -1]] = True  # these may belong to a bucket that another batch holds too; other single rows meet nobody
-        for a, b in zip(first[busy].tolist(), last[busy].tolist(), strict=True):
-            if key is not None and k[a] != key:
-                flush()
-                ids, wide = ids[:0], wide[:0]
-            key = k[a]
-            ids, wide = np.concatenate([ids, i[a:b]]), np.concatenate([wide, w[a:b]])
-            if len(ids) > PIECE:
-                roots = flush()
-                ids, wide = ids[roots], wide[roots]
-        if edges:
-            yield out()
-            edges.clear()
-    if key is not None:
-        flush()
-        yield out()
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, ids, n, wide = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int32), np.zeros((0, PARTS), np.uint64)
+        for batch in common.gathered(batches, ROWS):
+            done = batch.column("to").is_valid()
+            known, batch = batch.filter(done), batch.filter(pc.invert(done))
+            yield edges(known.column("id").to_numpy(), known.column("to").to_numpy())
+            key, ids, n = (np.concatenate([x, batch.column(c).to_numpy()]) for x, c in ((key, "key"), (ids, "id"), (n, "n")))
+            wide = np.concatenate([wide, columns(batch, WIDE)])
+            free, u, v = tied(key, ids, n, wide, similarity)
+            yield edges(u, v)
+            last = free[key[free] == key[-1]] if len(key) else free
+            key, ids, n, wide = key[last], ids[last], n[last], wide[last]
+
+    return run
 
 
 def verified(k: int, similarity: float):
@@ -219,68 +225,102 @@ def verified(k: int, similarity: float):
 
 
 def links_of(edges: DataFrame, texts: DataFrame, k: int, similarity: float) -> DataFrame:
-    """The edges (u, v) whose whole texts (id, text) are similar."""
+    """The edges (u, v) whose whole texts (id, text) are similar. Ids are unique, and sizes of edges' ends alike, so a text joined to its edges is no larger than what it is compared with."""
     ends = edges.select(F.col("u").alias("id")).union(edges.select(F.col("v").alias("id"))).distinct()
-    ends = common.stored(texts.join(ends, "id", "left_semi").distinct(), "texts")
+    ends = common.stored(texts.join(ends, "id", "left_semi"), "texts")
     pairs = edges.join(ends.select(F.col("id").alias("u"), F.col("text").alias("a")), "u").join(ends.select(F.col("id").alias("v"), F.col("text").alias("b")), "v")
-    return common.stored(pairs.select("u", "v", "a", "b").mapInArrow(verified(k, similarity), "u bigint, v bigint"), "links")
+    links = common.stored(pairs.select("u", "v", "a", "b").mapInArrow(verified(k, similarity), "u bigint, v bigint"), "links")
+    common.release(ends)
+    return links
+
+
+def meetings(classes: DataFrame) -> DataFrame:
+    """Rows (key, id, n, pos, score, level) of the shingles of prefixes that several texts have there.
+
+    Texts are ordered by score: those whose prefix others share most come first, as the origin of a group of copies does. The
+    level is the round in which a text is compared with all after it in its bucket: about the first BASE**r of them in round
+    r. Levels come from quantiles, which are aggregated before the shuffle, so a bucket with many of all texts needs no sort.
+    """
+    held = classes.filter("n > 0").select("id", "n", F.size("first").alias("of"), F.posexplode("first").alias("pos", "key"))
+    sizes = common.stored(held.groupBy("key").agg(F.count(F.lit(1)).alias("size")).filter("size > 1"), "sizes")
+    met = held.join(sizes, "key")
+    noise = F.pmod(F.xxhash64("id"), F.lit(1 << 20)) / F.lit(float(1 << 40))
+    scores = met.groupBy("id", "of").agg(F.count(F.lit(1)).alias("shared")).select("id", (F.col("shared") / F.col("of") + noise).alias("score"))
+    met = common.stored(met.drop("of").join(scores, "id"), "met")
+    common.release(sizes)
+    bounds = met.groupBy("key").agg(F.percentile_approx("score", F.array(*(F.lit(1 - float(BASE) ** -j) for j in range(1, LEVELS + 1)))).alias("bounds"))
+    met_to = met.join(bounds, "key")
+    above = sum((F.col("score") >= F.col("bounds")[j]).cast("int") for j in range(LEVELS))
+    full = F.ceil(F.log(F.col("size").cast("double")) / math.log(BASE) - 1e-9).cast("int")
+    ranked = common.stored(met_to.withColumn("level", F.greatest(full - above, F.lit(0))).drop("bounds", "size"), "ranked")
+    common.release(met)
+    return ranked
 
 
 def closed(classes: DataFrame, texts: DataFrame, tested: DataFrame, links: DataFrame, k: int, similarity: float) -> DataFrame:
     """All links needed: those given, and more until no two similar texts are in different components.
 
-    Texts that share a shingle of their prefixes meet in a bucket, in which each has a rank (texts whose prefix others share
-    most come first, as the origin of a group of copies does). Round r compares the ranks from 2^r - 1 up to 2^(r+1) - 2 with
-    all later ones of another component, so each pair is compared in the round of its earlier rank or is joined by then. Pairs
-    whose sizes or whose places of the shingle rule the similarity out are not compared: of a pair's first common shingle both
+    Texts that share a shingle of their prefixes meet in a bucket. Round r compares the texts of level r with all after them
+    that are in another component, so each pair is compared in the round of its first text or is joined by then. Pairs whose
+    sizes or whose places of the shingle rule the similarity out are not compared: of a pair's first common shingle both
     bounds hold.
     """
-    held = Window.partitionBy("key")
-    met = classes.filter("n > 0").select("id", "n", F.posexplode("first").alias("pos", "key"))
-    met = common.stored(met.withColumn("size", F.count(F.lit(1)).over(held)).filter("size > 1"), "met")
-    shared = met.groupBy("id", "n").agg((F.count(F.lit(1)) / (F.col("n") - F.ceil(F.col("n") * similarity - 1e-9) + 1)).alias("shared")).drop("n")
-    met = common.stored(met.join(shared, "id").withColumn("rank", F.row_number().over(held.orderBy(F.desc("shared"), "id")) - 1).drop("shared"), "ranked")
-    low = 0
+    met, level = meetings(classes), 0
     while True:
         known = components(links)
         now = met.drop("component").join(known.withColumnRenamed("node", "id"), "id", "left").withColumn("component", F.coalesce("component", "id"))
         open_keys = now.groupBy("key").agg(F.min("component").alias("a"), F.max("component").alias("b")).filter("a < b").select("key")
-        met = common.stored(now.filter(F.col("size") > low + 1).join(open_keys, "key", "left_semi"), "open")
-        most = met.agg(F.max("size")).first()[0]
-        if most is None:
+        still = common.stored(now.join(open_keys, "key", "left_semi"), "open")
+        common.release(met, known)
+        met = still
+        most = met.agg(F.max("level")).first()[0]
+        if most is None or most < level:
+            common.release(met)
             return links
-        high = 2 * low + 1
-        x, y = (met.select("key", *(F.col(c).alias(f"{c}_{side}") for c in ("id", "n", "pos", "rank", "component"))) for side in "xy")
-        pairs = x.filter(F.col("rank_x").between(low, high - 1)).join(y.filter(F.col("rank_y") > low), "key").filter("rank_x < rank_y and component_x <> component_y")
+        x, y = (met.select("key", *(F.col(c).alias(f"{c}_{side}") for c in ("id", "n", "pos", "score", "level", "component"))) for side in "xy")
+        pairs = x.filter(F.col("level_x") == level).join(y, "key").filter("component_x <> component_y")
+        pairs = pairs.filter("score_x > score_y or score_x = score_y and id_x > id_y")
         both = F.least(F.expr("n_x - pos_x"), F.expr("n_y - pos_y"))  # the shared one and all after it
         pairs = pairs.filter(F.least("n_x", "n_y") >= F.greatest("n_x", "n_y") * similarity - 1e-9)
         pairs = pairs.filter(both >= (F.col("n_x") + F.col("n_y")) * (similarity / (1 + similarity)) - 1e-9)
         pairs = pairs.select(F.least("id_x", "id_y").alias("u"), F.greatest("id_x", "id_y").alias("v")).distinct()
         pairs = common.stored(pairs.join(tested, ["u", "v"], "left_anti"), "pairs")
         tested, links = tested.union(pairs), links.union(links_of(pairs, texts, k, similarity))
-        low = high
+        level += 1
 
 
-def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8) -> DataFrame:
-    """One row per row of docs with an id: id, component_id (least id of the texts that links of this similarity reach).
-
-    Texts without words (null ones too) are one component. Rows without an id are left out. Texts with equal sets of shingles
-    are one node, whose text is that of its least id; where rows with different texts share this id, any of them may link.
-    Every link is verified on whole texts, and every two texts of this similarity are in one component (shingles count as
-    equal where their 64-bit hashes are). The keys are made for similarities of 0.8 or more; less is refused.
-    """
+def row_components(texts: DataFrame, shingle: int = 5, similarity: float = 0.8) -> DataFrame:
+    """(id, component) of every row of texts (id, text), whose ids are unique, not null, and the same each time. Component: its least id."""
     if not 0.8 <= similarity <= 1:
         raise ValueError("the keys find similarities of 0.8 or more")
-    common.prepare(docs.sparkSession)
-    texts = docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).alias("text")).filter("id is not null")
+    common.prepare(texts.sparkSession)
     frequent = frequent_shingles(texts, shingle)
-    rows = common.stored(texts.select("id", sketch(shingle, similarity, *frequent)("text").alias("f")).select("id", "f.*"), "sketches")
-    classes = rows.groupBy(*WHOLE, "n").agg(F.min("id").alias("id"), *(F.min(c).alias(c) for c in WIDE + LEAST), F.first("first").alias("first"))
+    all_rows = common.stored(texts.select("id", sketch(shingle, similarity, *frequent)("text").alias("f")).select("id", "f.*"), "sketches")
+    rows = common.stored(all_rows.select("id", *WHOLE, "n"), "sets")
+    classes = all_rows.groupBy(*WHOLE, "n").agg(F.min("id").alias("id"), *(F.min(c).alias(c) for c in WIDE + LEAST), F.first("first").alias("first"))
     classes = common.stored(classes, "classes")
-    buckets = classes.filter(" or ".join(f"{c} <> 0" for c in WIDE)).mapInArrow(keyed, f"key bigint, id bigint, {', '.join(f'{c} bigint' for c in WIDE)}")
-    edges = buckets.repartition("key").sortWithinPartitions("key", "id").mapInArrow(close, "u bigint, v bigint")
+    common.release(all_rows)
+    sent = f"key bigint, id bigint, to bigint, n int, {', '.join(f'{c} bigint' for c in WIDE)}"
+    buckets = classes.select("id", "n", *WIDE, *LEAST).filter("n > 0").mapInArrow(keyed(similarity), sent)
+    edges = buckets.repartition("key").sortWithinPartitions("key", "id").mapInArrow(close(similarity), "u bigint, v bigint")
     edges = common.stored(edges.filter("u <> v").distinct(), "candidates")
     links = closed(classes, texts, edges, links_of(edges, texts, shingle, similarity), shingle, similarity)
     groups = components(links).withColumnRenamed("node", "id")
-    known = common.stored(classes.join(groups, "id", "left").select(*WHOLE, "n", F.coalesce("component", "id").alias("component_id")), "members")
-    return rows.join(known, [*WHOLE, "n"]).select(F.col("id").alias(id_col), "component_id")
+    known = common.stored(classes.select("id", *WHOLE, "n").join(groups, "id", "left").select(*WHOLE, "n", F.coalesce("component", "id").alias("component")), "members")
+    common.release(classes)
+    return rows.join(known, [*WHOLE, "n"]).select("id", "component")
+
+
+def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8) -> DataFrame:
+    """One row per row of docs: its id, component_id (least id of the texts that links of this similarity reach).
+
+    Texts without words (null ones too) are one component. A null id joins its component but is never its least id; a component
+    of null ids only has a null component_id. Equal rows, and different texts with one id, are rows of their own. An empty
+    table gives none; other columns are not read, whatever their names. Texts with equal sets of shingles are one node.
+    Every link is verified on whole texts, and every two texts of this similarity are in one component (shingles count as
+    equal where their 64-bit hashes are). The keys are made for similarities of 0.8 or more; less is refused.
+    """
+    rows = common.numbered(docs.select(F.col(id_col).alias("doc"), F.col(text_col).alias("text")), "id")
+    members = common.stored(rows.select("id", "doc").join(row_components(rows.select("id", "text"), shingle, similarity), "id"), "of_rows")
+    least = members.groupBy("component").agg(F.min("doc").alias("component_id"))
+    return members.join(least, "component").select(F.col("doc").alias(id_col), "component_id")
