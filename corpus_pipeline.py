@@ -19,11 +19,15 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies (five-word shingles, similarity 0.8 or more), that with the least id; one without an id only where none has an id. Different texts with one id all stay."""
-    rows = common.stored(docs.withColumn("__row", F.monotonically_increasing_id()), "rows")
-    members = rows.select("__row", "doc_id").join(nearcopies.near_copies(rows, "__row"), "__row")
-    kept = members.groupBy("component_id").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "__row")).alias("least")).select("least.__row")
-    return rows.join(kept, "__row", "left_semi").select(docs.columns)
+    """One document of each group of near copies (five-word shingles, similarity 0.8 or more), that with the least id; one without an id only where none has an id. Different texts with one id all stay; texts without words are one group."""
+    row = common.fresh("row_number", docs)
+    rows = common.numbered(docs, row)
+    groups = nearcopies.row_components(rows.select(F.col(row).alias("id"), "text")).withColumnRenamed("id", row)
+    members = common.stored(rows.select(row, F.col("doc_id").alias("doc")).join(groups, row), "groups")
+    least = F.min(F.struct(F.col("doc").isNull().alias("none"), "doc", row))[row]
+    kept = members.groupBy("component").agg(least.alias("kept"))
+    dropped = members.join(kept, "component").filter(F.col(row) != F.col("kept")).select(row)
+    return rows.join(common.stored(dropped, "dropped"), row, "left_anti").select(docs.columns)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -33,11 +37,12 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def source_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as often as the mix takes it, from none to three times."""
-    copies = mixing.mix(docs).filter("copies > 0").groupBy(F.col("doc_id").alias("__id"), "row_hash").agg(F.max("copies").alias("copies"))
-    rows = docs.withColumn("__hash", F.xxhash64(F.lit(23), "doc_id", "text"))
-    taken = rows.join(copies, (F.col("__hash") == F.col("row_hash")) & F.col("doc_id").eqNullSafe(F.col("__id"))).withColumn("__copy", F.explode(F.sequence(F.lit(1), "copies")))
-    return taken.select(docs.columns)
+    """Each document as often as the mix takes it, from none to three times; rows with equal id and text count alike. A null text is never taken."""
+    mine, theirs, times, each = (common.fresh(x, docs) for x in ("hash_here", "id_there", "times", "each"))
+    copies = mixing.mix(docs).filter("copies > 0").groupBy(F.col("doc_id").alias(theirs), F.col("row_hash").alias("hash_there")).agg(F.max("copies").alias(times))
+    rows = docs.withColumn(mine, F.xxhash64(F.lit(23), "doc_id", "text"))
+    taken = rows.join(copies, (rows[mine] == copies["hash_there"]) & rows["doc_id"].eqNullSafe(copies[theirs]))
+    return taken.withColumn(each, F.explode(F.sequence(F.lit(1), times))).select(*(rows[c] for c in docs.columns))
 
 
 def token_output(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -52,7 +57,9 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = queries.table(spark, sf_dir, "documents")
+    """The stages one after another; what a stage stored for itself is deleted once its result is written, and so is its input."""
+    docs, others = queries.table(spark, sf_dir, "documents"), common.tables()
     for name, stage in STAGES:
         docs = common.stored(stage(spark, docs, sf_dir), f"stage-{name}")
+        common.sweep({*others, docs._stored_at})
     return docs
