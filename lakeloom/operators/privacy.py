@@ -6,6 +6,7 @@ import hashlib
 import hmac
 import os
 import random
+import re
 from collections.abc import Sequence
 from dataclasses import dataclass
 from enum import IntEnum
@@ -202,3 +203,64 @@ def dynamic_view_sql(view: str, source: str, policies: Sequence[ColumnPolicy], k
 def tag_sql(table: str, policies: Sequence[ColumnPolicy]) -> list[str]:
     """Catalogue statements that record the classification of columns."""
     return [f"ALTER TABLE {table} ALTER COLUMN {p.column} SET TAGS ('level' = '{p.level.name.lower()}', 'personal' = '{str(p.personal).lower()}')" for p in policies]
+
+
+#: What a value of a personal column looks like, by kind; tested on the whole value.
+LOOKS = {"email": r"^[^@\s]+@[^@\s]+\.[^@\s]+$", "cpf": r"^\d{3}\.?\d{3}\.?\d{3}-?\d{2}$", "ip": r"^(\d{1,3}\.){3}\d{1,3}$", "phone": r"^\+?[\d ()-]{8,20}$", "uuid": r"^[0-9a-fA-F]{8}(-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}$"}
+
+
+@dataclass(frozen=True)
+class ColumnProfile:
+    """What a reviewer sees of a column: figures and masked samples, never a value."""
+
+    column: str
+    type: str
+    rows: int
+    nulls: int
+    distinct: int
+    looks: dict[str, float]
+    samples: tuple[str, ...]
+
+
+def column_profiles(df: DataFrame, samples: int = 3) -> list[ColumnProfile]:
+    """Every column's figures from one aggregation: the share of values that look like a kind, and the most frequent masked forms."""
+    figures = [F.count(F.lit(1)).alias("rows")]
+    for i, (c, _) in enumerate(df.dtypes):
+        text = F.col(f"`{c}`").cast("string")
+        figures += [F.count_if(text.isNull()).alias(f"n{i}"), F.approx_count_distinct(text).alias(f"d{i}"), *[F.count_if(text.rlike(p)).alias(f"{k}{i}") for k, p in LOOKS.items()]]
+    row = df.agg(*figures).first()
+    forms = df.select(F.inline(F.array(*[F.struct(F.lit(i).alias("i"), mask_format(F.left(F.col(f"`{c}`").cast("string"), F.lit(40))).alias("form")) for i, (c, _) in enumerate(df.dtypes)]))).filter("form is not null").groupBy("i", "form").count()
+    best = forms.groupBy("i").agg(F.slice(F.sort_array(F.collect_list(F.struct((-F.col("count")).alias("n"), "form"))), 1, samples).alias("top"))
+    shown = {r["i"]: tuple(x["form"] for x in r["top"]) for r in best.collect()}  # one row a column
+    out = []
+    for i, (c, kind) in enumerate(df.dtypes):
+        values = row["rows"] - row[f"n{i}"]
+        out.append(ColumnProfile(c, kind, row["rows"], row[f"n{i}"], row[f"d{i}"], {k: row[f"{k}{i}"] / values if values else 0.0 for k in LOOKS}, shown.get(i, ())))
+    return out
+
+
+#: Parts of column names that tell of personal data.
+PERSONAL_NAMES = re.compile(r"(^|_)(name|login|email|mail|cpf|phone|address|ip|user|birth)(_|$)", re.IGNORECASE)
+
+
+def personal_by_rules(profiles: Sequence[ColumnProfile], least: float = 0.5, by_name: bool = True) -> dict[str, str]:
+    """column -> why it counts as personal: the kind that at least a share of its values look like, or its name."""
+    out = {}
+    for p in profiles:
+        kind = max(p.looks, key=lambda k: p.looks[k]) if p.type == "string" else None
+        if kind and p.looks[kind] >= least:
+            out[p.column] = kind
+        elif by_name and PERSONAL_NAMES.search(p.column):
+            out[p.column] = "name"
+    return out
+
+
+def shred(keys: DataFrame, subject: str, gone: DataFrame) -> DataFrame:
+    """The keys without those of some subjects: what was encrypted with these can't be read any more, wherever copies of it are."""
+    return keys.join(gone.select(subject).distinct(), subject, "left_anti")
+
+
+def decrypt_by_subject(df: DataFrame, subject: str, column: str, keys: DataFrame) -> DataFrame:
+    """The column in clear for subjects whose key exists, else null."""
+    book = keys.select(F.col(subject).alias("__s"), F.col("key_hex").alias("__k"))
+    return df.join(book, F.col(subject) == F.col("__s"), "left").withColumn(column, decrypt(column, "__k")).drop("__s", "__k")

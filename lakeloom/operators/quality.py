@@ -333,3 +333,24 @@ def review_rules(rules: Sequence[Rule], decisions: Mapping[str, Decision], types
             out.approved.append(r)
         out.audit.append({"rule": r.name, "outcome": outcome, "reason": reason, "reviewer": reviewer})
     return out
+
+
+def inject_faults(df: DataFrame, faults: Mapping[str, tuple[str, Mapping[str, str]]], mark: str = "fault") -> DataFrame:
+    """Rows with known faults, for testing checks: name -> (condition, column -> expression); the first that applies changes a row and is named in ``mark``."""
+    kind = F.lit(None).cast("string")
+    for name, (condition, _) in reversed(faults.items()):
+        kind = F.when(F.expr(condition), F.lit(name)).otherwise(kind)
+    marked, types = df.withColumn(mark, kind), dict(df.dtypes)
+    changed = {}
+    for c in df.columns:
+        value = F.col(c)
+        for name, (_, exprs) in faults.items():
+            if c in exprs:
+                value = F.when(F.col(mark) == name, F.expr(exprs[c]).cast(types[c])).otherwise(value)
+        changed[c] = value
+    return marked.select(*[v.alias(c) for c, v in changed.items()], mark)
+
+
+def repeated_rows(df: DataFrame, condition: str) -> DataFrame:
+    """df with the rows that meet a condition a second time, as a feed that delivers twice has them."""
+    return df.withColumn("__copy", F.explode(F.when(F.coalesce(F.expr(condition), F.lit(False)), F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0))))).drop("__copy")

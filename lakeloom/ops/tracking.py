@@ -9,13 +9,14 @@ import json
 import os
 import re
 import uuid
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass, field
 from datetime import UTC, datetime
 from typing import Any, Protocol
 from urllib.request import urlopen
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 RUNS = "run_id string, pipeline string, step string, started_at timestamp, finished_at timestamp, duration_s double, rows_read bigint, rows_written bigint, status string, error string, job_group string"
 
@@ -149,6 +150,12 @@ def plan_text(df: DataFrame, mode: str = "formatted") -> str:
     return out.getvalue()
 
 
+def run_plan(df: DataFrame) -> tuple[int, str]:
+    """Rows, and the plan as it ended: adaptive execution changes it while it runs."""
+    plan = df._jdf.queryExecution().executedPlan()
+    return plan.execute().count(), plan.toString()
+
+
 def grep_plan(df: DataFrame, *words: str, mode: str = "simple") -> list[str]:
     return [line.strip() for line in plan_text(df, mode).splitlines() if any(w in line for w in words)]
 
@@ -229,3 +236,22 @@ def capacity(gb_per_day: float, bytes_per_event: float, peak_over_mean: float =
     mb_s = gb_per_day * 1000 / 86400
     stored = gb_per_day / compression * retention_days
     return {"events_per_s": mb_s * 1e6 / bytes_per_event, "mb_per_s": mb_s, "peak_mb_per_s": mb_s * peak_over_mean, "cores": mb_s * peak_over_mean * headroom / mb_s_per_core, "stored_gb": stored, "files": stored * 1000 / file_mb}
+
+
+def run_figures(runs: DataFrame, by: Sequence[str] = ("pipeline", "step")) -> DataFrame:
+    """Runs, failures, rows and durations (median, 95th percentile, longest) of each step."""
+    seconds = F.col("duration_s")
+    return runs.groupBy(*by).agg(
+        F.count(F.lit(1)).alias("runs"), F.count_if(F.col("status") == "failed").alias("failures"), F.coalesce(F.sum("rows_written"), F.lit(0)).alias("rows_written"),
+        F.percentile(seconds, 0.5).alias("median_s"), F.percentile(seconds, 0.95).alias("p95_s"), F.max(seconds).alias("longest_s"),
+    )
+
+
+def service_level(runs: DataFrame, target: float, within_s: float | None = None, by: Sequence[str] = ("pipeline",)) -> DataFrame:
+    """The share of good runs (ended well, and in time if there is a limit), and how much of the error budget is left; below zero: overspent."""
+    good = F.col("status") == "ok"
+    if within_s is not None:
+        good = good & (F.col("duration_s") <= within_s)
+    share = F.col("good") / F.col("runs")
+    counted = runs.groupBy(*by).agg(F.count(F.lit(1)).alias("runs"), F.count_if(good).alias("good"))
+    return counted.withColumn("level", share).withColumn("met", share >= target).withColumn("budget_left", 1 - (1 - share) / F.lit(1 - target))

@@ -248,12 +248,12 @@ def ratio_with_guard(spark, d):
     return t(spark, d, "events").groupBy(F.hour("ts").alias("h")).agg(n("user_id % 2 = 0").alias("human"), n("user_id % 2 = 1").alias("bots"), F.count_distinct("user_id").alias("users"), F.round(n("event_type = 'purchase'") / views, 6).alias("rate"))
 
 
-@query("select o_orderkey, (select count(*) from lineitem where l_orderkey = o_orderkey) as lines from orders where o_orderkey % 10 = 0")
+@query("select o_orderkey, (select count(*) from lineitem where l_orderkey = o_orderkey) as lines from orders")
 def correlated_scalar(spark, d):
     """AGG20"""
     t(spark, d, "orders").createOrReplaceTempView("__o")
     t(spark, d, "lineitem").createOrReplaceTempView("__l")
-    return spark.sql("select o_orderkey, coalesce((select count(*) from __l where l_orderkey = o_orderkey), 0) as lines from __o where o_orderkey % 10 = 0")
+    return spark.sql("select o_orderkey, coalesce((select count(*) from __l where l_orderkey = o_orderkey), 0) as lines from __o")
 
 
 @query("select min(n) as k, count(*) as groups, count(*) filter (n = 1) as unique_groups, sum(n)::bigint as rows from (select count(*) as n from customer group by c_nationkey, c_mktsegment, floor(c_acctbal / 1000))")
@@ -438,19 +438,18 @@ def _re2(pattern: str) -> str:
 
 
 #: The two regex dialects see word boundaries alike in ASCII only, so other letters are replaced first.
-TITLE = "lower(trim(regexp_replace(substr(text, 1, 60), '[^\\x00-\\x7F]', 'x', 'g') || case doc_id % 5 when 0 then ' fix crash' when 1 then ' bump deps' when 2 then ' docs' when 3 then ' new support' else '' end, ' '))"
+TITLE = "lower(trim(regexp_replace(text, '[^\\x00-\\x7F]', 'x', 'g'), ' '))"
 CLASSES = f"""(select doc_id, case when regexp_matches(x, '{_re2(titles.DEPENDENCY)}') then 'chore' {' '.join(f"when regexp_matches(x, '{_re2(p)}') then '{n}'" for n, p in titles.KEYWORDS)} else 'outro' end as class from (select doc_id, {TITLE} as x from documents))"""
 
 
 def _titles(spark, d):
-    tail = F.coalesce(*[F.when(F.col("doc_id") % 5 == i, x) for i, x in enumerate((" fix crash", " bump deps", " docs", " new support"))], F.lit(""))
-    title = F.concat(F.regexp_replace(F.substring("text", 1, 60), r"[^\x00-\x7F]", "x"), tail)
+    title = F.regexp_replace("text", r"[^\x00-\x7F]", "x")
     return t(spark, d, "documents").select("doc_id", titles.keyword_class(title).alias("class"))
 
 
 @query(f"select * from {CLASSES}")
 def keyword_classifier(spark, d):
-    """ML1, ML2"""
+    """ML1 over whole texts; documents have no conventional prefixes (ML2), which keyword_classifier_text and the tests cover"""
     return _titles(spark, d)
 
 

@@ -34,10 +34,14 @@ def write_watermark(state: Path, version: int) -> None:
         json.dump({"version": version}, f)
 
 
-def apply_changes(spark: SparkSession, source: str, target: str, key: str, state: str | Path, first_version: int = 0) -> FeedRun:
-    """Bring a replica up to date. The watermark is saved after the merge, which does no harm when it runs again."""
-    src, out, state = Table(spark, source), Table(spark, target), Path(state)
-    done = read_watermark(state)
+def apply_changes(spark: SparkSession, source: str, target: str, key: str, state: str | Path | None = None, first_version: int = 0) -> FeedRun:
+    """Bring a replica up to date. How far it is stands in the replica's own commits, or in a file ``state``.
+
+    A file is written after the merge, which does no harm when it runs again.
+    """
+    src, out = Table(spark, source), Table(spark, target)
+    feed, state = f"changes of {source}", Path(state) if state else None
+    done = read_watermark(state) if state else out.state()["txn"].get(feed) if out.exists() else None
     start, end = first_version if done is None else done + 1, src.version()
     if end < start:
         return FeedRun(start, end, 0, {})
@@ -49,9 +53,10 @@ def apply_changes(spark: SparkSession, source: str, target: str, key: str, state
         gone = last.filter("_change_type = 'delete'").select(names)
         kept = last.filter("_change_type != 'delete'").select(names)
         removed = out.merge(gone, [key], update_if=None, delete_if="true", insert_if=None)
-        merged = out.merge(kept, [key])
+        merged = out.merge(kept, [key], txn=None if state else (feed, end))
         metrics = {k: removed[k] + merged[k] for k in merged}
     finally:
         last.unpersist()
-    write_watermark(state, end)
+    if state:
+        write_watermark(state, end)
     return FeedRun(start, end, n, metrics)

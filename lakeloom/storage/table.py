@@ -9,11 +9,12 @@ from __future__ import annotations
 
 import json
 import os
+import re
 import time
 import uuid
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass
-from datetime import UTC, datetime
+from datetime import UTC, date, datetime, timedelta
 from typing import Any, TypeVar
 from urllib.parse import unquote, urlsplit
 
@@ -90,14 +91,15 @@ class _Log:
                 os.unlink(part)
             return
         fs, p = self._fs(self.path(name))
-        try:
-            stream = fs.create(p, False)
-        except Exception as e:
-            if "FileAlreadyExists" in str(e):
-                raise FileExistsError(name) from e
-            raise
+        _, part = self._fs(self.path(f"{name}.{uuid.uuid4().hex}.tmp"))
+        stream = fs.create(part, False)
         stream.write(bytearray(text.encode()))
         stream.close()
+        try:
+            if fs.exists(p) or not fs.rename(part, p):  # a store's rename doesn't replace a file
+                raise FileExistsError(name)
+        finally:
+            fs.delete(part, False)
 
     def files(self, folder: str) -> dict[str, int]:
         """Relative path -> bytes of all files under a folder."""
@@ -215,6 +217,8 @@ class Table:
                     raise ConflictError(f"{operation}: version {version + 1} exists") from None
                 for v in range(version + 1, self.version() + 1):
                     other = self.commit_at(v)
+                    if txn and other["txn"].get(txn[0], -1) >= txn[1]:  # another writer applied this very batch; the files here belong to no version
+                        return dict.fromkeys(metrics or {}, 0)
                     touched = set(other.get("remove", [])) & set(remove)
                     if touched or "schema" in other or not blind and other.get("add") and other["data_change"] and not self._disjoint(base, other, remove):
                         raise ConflictError(f"{operation}: version {v} changed what it read") from None
@@ -288,6 +292,10 @@ class Table:
         df = self.spark.read.schema(physical).parquet(*[f"{self.path}/{p}" for p in paths])
         return df.select(*[F.col(f"`{mapping.get(f.name, f.name)}`").alias(f.name) for f in schema])
 
+    def rows_of(self, paths: Sequence[str]) -> DataFrame:
+        """Rows of some data files, under the present schema."""
+        return self._frame(self.state(), paths)
+
     def read(self, version: int | None = None, timestamp: str | datetime | None = None, where: Sequence[tuple[str, str, Any]] = ()) -> DataFrame:
         """The table now, or as of a version or time. where: (column, operator, value) conditions, which also skip files by their statistics."""
         if timestamp is not None:
@@ -302,11 +310,30 @@ class Table:
             df = df.filter(_compare(F.col(column), op, value))
         return df
 
-    @staticmethod
-    def pruned(state: dict[str, Any], where: Sequence[tuple[str, str, Any]]) -> list[str]:
-        """Files that may hold rows for the conditions; a condition on a column also counts for a date generated from it."""
-        extra = [(g, op.replace("<", "<=").replace("==", "=") if op in ("<", "<=") else op, str(v)[:10]) for c, op, v in where for g, (kind, source) in state["generated"].items() if kind == "date" and source == c and op in ("=", "<", "<=", ">=")]
-        return [p for p, f in state["files"].items() if all(_may_hold(f["stats"].get(c), op, v) for c, op, v in [*where, *extra])]
+    def pruned(self, state: dict[str, Any], where: Sequence[tuple[str, str, Any]]) -> list[str]:
+        """Files that may hold rows for the conditions; a condition on a column also counts for a date generated from it.
+
+        Values are read as the session reads them (a timestamp without a zone is local). A generated date may have been derived
+        in another zone, so two days are added on both sides; the source column's own statistics are exact.
+        """
+        types = {f["name"]: schema_of(f["type"]).simpleString() if isinstance(f["type"], str) else None for f in state["schema"]["fields"]}
+        tests = [(c, op, [self._mark(x, types.get(c)) for x in (v if op == "in" else [v])]) for c, op, v in where]
+        for g, (kind, source) in state["generated"].items():
+            for op, v in [(op, v) for c, op, v in where if c == source and op != "in" and kind == "date"]:
+                day = self._mark(v, "date")
+                if day is not None:
+                    days = [(date.fromisoformat(day) + timedelta(days=d)).isoformat() for d in (-2, 2)]
+                    tests += [(g, ">=", days[:1])] * (op in ("=", ">", ">=")) + [(g, "<=", days[1:])] * (op in ("=", "<", "<="))
+        return [p for p, f in state["files"].items() if all(_may_hold(f["stats"].get(c), op, v) for c, op, v in tests)]
+
+    def _mark(self, value: Any, kind: str | None) -> str | None:
+        """A value as statistics write it; None if it can't be compared."""
+        if kind is None or value is None:
+            return None
+        try:
+            return self.spark.range(1).select(_statistic(F.lit(value).cast(kind), kind)).first()[0] if kind.startswith("timestamp") or kind == "date" else str(value)
+        except Exception:  # a value that isn't of the column's type skips no file
+            return None
 
     def count(self) -> int:
         """Rows, from the log alone."""
@@ -367,13 +394,14 @@ class Table:
         figures = [F.count(F.lit(1)).alias("rows")]
         for i, f in enumerate(kept):
             c = F.col(f"`{mapping.get(f.name, f.name)}`")
-            figures += [F.min(c).cast("string").alias(f"a{i}"), F.max(c).cast("string").alias(f"b{i}"), F.count_if(c.isNull()).alias(f"n{i}")]
+            kind = f.dataType.simpleString()
+            figures += [_statistic(F.min(c), kind).alias(f"a{i}"), _statistic(F.max(c), kind).alias(f"b{i}"), F.count_if(c.isNull()).alias(f"n{i}")]
         sizes = self.log.files(folder)
         added = []
         for r in back.groupBy(F.col("_metadata.file_path").alias("file")).agg(*figures).collect():  # one row a file
             path = f"{folder}/" + unquote(r["file"].split(folder + "/", 1)[1])
             path = path if path in sizes else f"{folder}/" + r["file"].split(folder + "/", 1)[1]
-            stats = {f.name: {"min": r[f"a{i}"], "max": r[f"b{i}"], "nulls": r[f"n{i}"], "type": f.dataType.simpleString()} for i, f in enumerate(kept)}
+            stats = {f.name: {"min": r[f"a{i}"], "max": r[f"b{i}"], "nulls": r[f"n{i}"], "type": _UNIT.get(f.dataType.simpleString(), f.dataType.simpleString())} for i, f in enumerate(kept)}
             added.append({"path": path, "rows": r["rows"], "bytes": sizes.get(path, 0), "stats": stats, "partition": {p: stats[p]["min"] for p in parts if p in stats}})
         return added
 
@@ -387,8 +415,7 @@ class Table:
                     raise ConstraintViolation(f"{g} is generated from {source}")
                 df = df.withColumn(g, derived)
         for column, last in state["identity"].items():
-            base = df.drop(column).withColumn("__id", F.monotonically_increasing_id())
-            df = base.withColumn(column, (F.row_number().over(Window.orderBy("__id")) + F.lit(last)).cast("bigint")).drop("__id")
+            df = self._numbered(df.drop(column), column, last)
         have = {f.name: f for f in df.schema}
         fields = list(schema.fields)
         for f in df.schema:
@@ -404,6 +431,17 @@ class Table:
         new = StructType(fields)
         return df.select(*[(F.col(f"`{f.name}`") if f.name in have else F.lit(None)).cast(f.dataType).alias(f.name) for f in new]), new
 
+    def _numbered(self, df: DataFrame, column: str, last: int) -> DataFrame:
+        """df with numbers from last + 1 on. The rows are written aside first, so that a number follows from the file and the place in it; vacuum deletes that copy."""
+        aside = f"{self.path}/_staging/{uuid.uuid4().hex}"
+        df.write.parquet(aside)
+        rows = self.spark.read.schema(df.schema).parquet(aside)
+        counts = rows.groupBy(F.col("_metadata.file_path").alias("__file")).count()
+        before = F.coalesce(F.sum("count").over(Window.orderBy("__file").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))  # one row a file
+        starts = self.spark.createDataFrame(counts.select("__file", (before + F.lit(last) + 1).alias("__start")).collect(), "__file string, __start bigint")
+        placed = rows.select("*", F.col("_metadata.file_path").alias("__file"), F.col("_metadata.row_index").alias("__at")).join(starts, "__file")
+        return placed.withColumn(column, F.col("__start") + F.col("__at")).drop("__file", "__start", "__at")
+
     def _check(self, df: DataFrame, state: dict[str, Any]) -> None:
         """All constraints in one pass; as in SQL, a null condition passes a CHECK."""
         rules = [(n, ~F.expr(c)) for n, c in state["constraints"].items()] + [(f"{f['name']} NOT NULL", F.col(f["name"]).isNull()) for f in state["schema"]["fields"] if not f["nullable"]]
@@ -452,17 +490,18 @@ class Table:
         if not outside.isEmpty():
             raise ConstraintViolation(f"rows outside {condition}")
         self._check(df, state)
-        touched = self._touched(state, F.expr(condition))
+        touched = self._touched(state, F.expr(condition), condition)
         keep = self._frame(state, touched).filter(~F.coalesce(F.expr(condition), F.lit(False)))
         added = self._write(keep.unionByName(df), state)
         removed = sum(state["files"][p]["rows"] for p in touched)
         return self._commit(state, "REPLACE WHERE", added, touched, {"rows_read": removed, "rows_written": sum(a["rows"] for a in added)})
 
-    def _touched(self, state: dict[str, Any], condition: Column) -> list[str]:
-        """Active files with a row that meets a condition."""
-        if not state["files"]:
+    def _touched(self, state: dict[str, Any], condition: Column, text: str = "") -> list[str]:
+        """Active files with a row that meets a condition; only those are read that the statistics of its simple parts leave."""
+        candidates = self.pruned(state, conjuncts(text))
+        if not candidates:
             return []
-        found = self._with_file(state).filter(condition).select("__file").distinct().collect()
+        found = self._with_file({**state, "files": {p: state["files"][p] for p in candidates}}).filter(condition).select("__file").distinct().collect()
         return self._relative(state, [r[0] for r in found])
 
     def _with_file(self, state: dict[str, Any]) -> DataFrame:
@@ -481,7 +520,7 @@ class Table:
         """Remove rows that meet a condition; a null condition keeps a row."""
         state = self.state()
         hit = F.coalesce(F.expr(condition), F.lit(False))
-        touched = self._touched(state, hit)
+        touched = self._touched(state, hit, condition)
         if not touched:
             return {"deleted": 0}
         rows = self._frame(state, touched)
@@ -492,7 +531,7 @@ class Table:
     def update(self, assignments: dict[str, str], condition: str = "true") -> dict[str, int]:
         state = self.state()
         hit = F.coalesce(F.expr(condition), F.lit(False))
-        touched = self._touched(state, hit)
+        touched = self._touched(state, hit, condition)
         if not touched:
             return {"updated": 0}
         rows = self._frame(state, touched)
@@ -583,10 +622,11 @@ class Table:
         known = [k for k in keys if any(k in f["stats"] for f in state["files"].values())]
         if not known or null_safe:
             return list(state["files"])
-        r = source.agg(*[g(k).cast("string").alias(f"{n}{i}") for i, k in enumerate(known) for n, g in (("a", F.min), ("b", F.max))]).first()
+        kinds = dict(source.dtypes)
+        r = source.agg(*[_statistic(g(k), kinds[k]).alias(f"{n}{i}") for i, k in enumerate(known) for n, g in (("a", F.min), ("b", F.max))]).first()
         if any(r[f"a{i}"] is None for i in range(len(known))):
             return []
-        return [p for p, f in state["files"].items() if all(_may_hold(f["stats"].get(k), "<=", r[f"b{i}"]) and _may_hold(f["stats"].get(k), ">=", r[f"a{i}"]) for i, k in enumerate(known))]
+        return [p for p, f in state["files"].items() if all(_may_hold(f["stats"].get(k), "<=", [r[f"b{i}"]]) and _may_hold(f["stats"].get(k), ">=", [r[f"a{i}"]]) for i, k in enumerate(known))]
 
     # --- maintenance ---------------------------------------------------------
 
@@ -603,7 +643,7 @@ class Table:
         for v in self.versions()[-max(1, retain_versions) :]:
             keep |= set(self.state(v)["files"]) | (set(self.commit_at(v)["changes"]) if keep_changes else set())
         gone = [p for p in self.log.files("data") if p.endswith(".parquet") and p not in keep]
-        for p in gone:
+        for p in [*gone, *self.log.files("_staging")]:
             self.log.delete(p)
         return len(gone)
 
@@ -696,16 +736,55 @@ def _compare(c: Column, op: str, value: Any) -> Column:
     return {"=": lambda: c == value, "<": lambda: c < value, "<=": lambda: c <= value, ">": lambda: c > value, ">=": lambda: c >= value, "in": lambda: c.isin(list(value))}[op]()
 
 
-def _may_hold(stats: dict[str, Any] | None, op: str, value: Any) -> bool:
-    """Whether a file with these statistics can have a row for the condition; unknown statistics can."""
+#: How statistics name the types of which they keep another form.
+_UNIT = {"timestamp": "utc micros"}
+
+
+def _statistic(c: Column, kind: str) -> Column:
+    """A least or greatest value as text. Instants are microseconds since 1970, whatever the session's time zone."""
+    return (F.unix_micros(c) if kind == "timestamp" else c).cast("string")
+
+
+#: column, comparison, literal
+_SIMPLE = re.compile(r"""\s*`?(\w+)`?\s*(<=|>=|==|=|<|>)\s*(?:(-?\d+(?:\.\d+)?)|(?:date|timestamp(?:_ntz)?)?\s*'([^']*)')\s*""", re.IGNORECASE)
+
+
+def conjuncts(condition: str) -> list[tuple[str, str, Any]]:
+    """The parts of a condition that compare a column with a literal and must hold for all of it; none if that isn't plain to see."""
+    bare = re.sub(r"'[^']*'", lambda m: "'" + "x" * (len(m.group()) - 2) + "'", condition)
+    if re.search(r"\b(or|case|between)\b|\|\||[\\\"]|--|/\*", bare, re.IGNORECASE):
+        return []
+    parts, depth, start = [], 0, 0
+    for m in re.finditer(r"[()]|\band\b", bare, re.IGNORECASE):
+        depth += (m.group() == "(") - (m.group() == ")")
+        if depth == 0 and m.group().lower() == "and":
+            parts.append(condition[start : m.start()])
+            start = m.end()
+    found = [_SIMPLE.fullmatch(p) for p in [*parts, condition[start:]]]
+    return [(m[1], m[2].replace("==", "="), m[3] if m[3] is not None else m[4]) for m in found if m]
+
+
+def _may_hold(stats: dict[str, Any] | None, op: str, values: Sequence[str | None]) -> bool:
+    """Whether a file with these statistics can have a row for the condition; unknown statistics and values can.
+
+    NaN is no bound: Spark sorts it above all numbers, so it would hide the others.
+    """
     if stats is None:
         return True
     if stats["min"] is None:
         return False
     kind = stats["type"]
-    to: Callable[[Any], Any] = int if kind in ("int", "bigint", "smallint", "tinyint") else float if kind in ("double", "float") else (lambda v: str(v).replace("T", " "))
-    low, high = to(stats["min"]), to(stats["max"])
-    if op == "in":
-        return any(low <= to(v) <= high for v in value)
-    v = to(value)
-    return {"=": low <= v <= high, "<": low < v, "<=": low <= v, ">": high > v, ">=": high >= v}[op]
+    if None in values or kind == "timestamp":
+        return True
+    to: Callable[[Any], Any] = int if kind in ("int", "bigint", "smallint", "tinyint", "utc micros") else float if kind in ("double", "float") else _time if kind == "timestamp_ntz" else str
+    try:
+        low, high, *given = (to(v) for v in (stats["min"], stats["max"], *values))
+    except ValueError:
+        return True
+    if any(x != x for x in (low, high, *given)):
+        return True
+    return any({"=": low <= v <= high, "in": low <= v <= high, "<": low < v, "<=": low <= v, ">": high > v, ">=": high >= v}[op] for v in given)
+
+
+def _time(text: str) -> datetime:
+    return datetime.fromisoformat(text)

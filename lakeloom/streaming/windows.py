@@ -3,11 +3,14 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
+from dataclasses import dataclass, replace
 from typing import Any
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming.state import GroupStateTimeout
 from pyspark.sql.streaming.listener import StreamingQueryListener
 
 from ..operators.history import dedup_latest
@@ -65,18 +68,68 @@ def append_sink(path: str, app: str) -> Callable[[DataFrame, int], None]:
     return lambda batch, number: Table(batch.sparkSession, path).append(batch, txn=(app, number)) and None
 
 
-def table_stream(spark: SparkSession, path: str) -> DataFrame:
-    """New data files of a table as a stream; meant for tables that are only appended to."""
-    return spark.readStream.schema(Table(spark, path).schema()).option("recursiveFileLookup", True).option("pathGlobFilter", "*.parquet").parquet(f"{path}/data")
+@dataclass(frozen=True)
+class TableStream:
+    """The rows that commits add to a table, for drain(). Only committed files count: nothing is read from writers that lost or died.
+
+    Commits that only rearrange files are passed over. One that changes or deletes rows is refused, or passed over too with
+    skip_changes. A transformation is applied to each batch.
+    """
+
+    spark: SparkSession
+    path: str
+    skip_changes: bool = False
+    steps: tuple[Callable[[DataFrame], DataFrame], ...] = ()
+
+    def transform(self, step: Callable[[DataFrame], DataFrame]) -> TableStream:
+        return replace(self, steps=(*self.steps, step))
+
+    def commits(self) -> DataFrame:
+        """The table's log as a stream: one row a commit."""
+        log = self.spark.readStream.schema("value string").option("wholetext", True).option("pathGlobFilter", "*.json").text(f"{self.path}/_log")
+        return log.select(F.from_json("value", "version bigint, operation string, data_change boolean, remove array<string>, add array<struct<path: string>>").alias("c")).select("c.*")
+
+    def rows(self, commits: DataFrame) -> DataFrame:
+        """The rows that a batch of commits added."""
+        table, paths = Table(self.spark, self.path), []
+        for c in sorted(commits.filter("data_change").collect(), key=lambda c: c["version"]):  # one row a commit
+            if c["remove"]:
+                if self.skip_changes:
+                    continue
+                raise ValueError(f"version {c['version']} of {self.path} ({c['operation']}) changed rows; a stream takes appended ones")
+            paths += [a["path"] for a in c["add"]]
+        df = table.rows_of(paths)
+        for step in self.steps:
+            df = step(df)
+        return df
 
 
-def drain(df: DataFrame, checkpoint: str, sink: Callable[[DataFrame, int], None], mode: str = "append") -> StreamingQuery:
+def table_stream(spark: SparkSession, path: str, skip_changes: bool = False) -> TableStream:
+    return TableStream(spark, path, skip_changes)
+
+
+def drain(df: DataFrame | TableStream, checkpoint: str, sink: Callable[[DataFrame, int], None], mode: str = "append") -> StreamingQuery:
     """Process all that is there, then stop."""
-    q = df.writeStream.outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True).foreachBatch(sink).start()
+    source, each = (df.commits(), lambda commits, n: sink(df.rows(commits), n)) if isinstance(df, TableStream) else (df, sink)
+    q = source.writeStream.outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True).foreachBatch(each).start()
     q.awaitTermination()
     return q
 
 
+def running_totals(events: DataFrame, key: str, value: str) -> DataFrame:
+    """(key, events, highest) after each batch for the keys that it holds, from state of our own: a count and the greatest value."""
+    kind = events.schema[key].dataType.simpleString()
+
+    def update(keys, frames, state):
+        count, highest = state.get if state.exists else (0, float("-inf"))
+        for frame in frames:
+            count, highest = count + len(frame), max(highest, float(frame[value].max()))
+        state.update((count, highest))
+        yield pd.DataFrame({key: [keys[0]], "events": [count], "highest": [highest]})
+
+    return events.select(key, F.col(value).cast("double").alias(value)).groupBy(key).applyInPandasWithState(update, f"{key} {kind}, events bigint, highest double", "events bigint, highest double", "update", GroupStateTimeout.NoTimeout)
+
+
 def progress_summary(p: dict[str, Any]) -> dict[str, Any]:
     """The health figures of a progress record; a stream without state has zeros."""
     state = p.get("stateOperators") or []

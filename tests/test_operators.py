@@ -179,7 +179,7 @@ def test_classifier_metrics_and_errors(spark):
     assert {tuple(r) for r in metrics.confusion(df, "g", "p", ["a", "b"]).collect()} == {("a", 1, 0, 1), ("b", 0, 1, 1)}
     assert metrics.kappa(df.filter("g = p and g = 'a'"), "g", "p").first()[0] == 1.0 and metrics.gate("x", 0.5, 0.6)[0] is False
     error = "File '/home/me/x/y.py' failed: value 'abc' at #12L\n\tat org.x\n  at org.y\nid 123e4567-e89b-12d3-a456-426614174000"
-    assert titles.normalize_error(error, ["/home/me"]) == "File '<root><path>' failed: value '<value>' at #N\nid <uuid>"
+    assert titles.normalize_error(error, ["/home/me"]) == "File [text] failed: value [text] at #[column]\nid [id]"
     assert titles.insert_attacks(["a", "b"], [(1, "x")]) == ([(0, "a"), (1, "x"), (2, "b")], [0, None, 1]) and titles.comment_sql("t", "it's", {"c": "d"})[0].endswith("'it\\'s'")
 
 
@@ -211,3 +211,27 @@ def test_keywords_anywhere_in_a_text_count(spark, tmp_path):
 
     got = {r["doc_id"]: r["class"] for r in relational.keyword_classifier_text(spark, str(tmp_path)).collect()}
     assert got == {i: brute(x) for i, x in enumerate(texts)} and got[3] == "bug" and got[9] == "chore"
+
+
+def test_crc_of_text_equals_zlib(spark, small):
+    import zlib
+
+    from lakeloom.plans import checks
+
+    types = {r["event_id"]: r["event_type"] for r in spark.read.parquet(f"{small}/events.parquet").collect()}
+    assert {r["event_id"]: r["crc"] for r in checks.crc_of_text(spark, small).collect()} == {i: zlib.crc32(t.encode()) for i, t in types.items()}
+
+
+def test_text_scrub_of_all_patterns(spark):
+    texts = ["mail a.b+c@x-y.org.", "cpf 123.456.789-01 or 12345678901", "at 10.0.0.1", "call (11) 91234-5678 now", "hi @some-one, a@b", "", None]
+    want = ["mail <EMAIL>.", "cpf <CPF> or <CPF>", "at <IP>", "call <TELEFONE> now", "hi <USUARIO>, a@b", "", None]
+    got = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string").select("i", privacy.scrub("t").alias("s")).collect()
+    assert [r["s"] for r in sorted(got)] == want
+
+
+def test_pauses_double_up_to_a_bound():
+    from lakeloom.ops import retry
+
+    assert list(retry.pauses(1, 1, 9)) == [] and all(0 <= p <= min(4.0, 2.0**k) for k, p in enumerate(retry.pauses(6, 1.0, 4.0)))
+    with pytest.raises(ValueError):
+        retry.retry(attempts=0)

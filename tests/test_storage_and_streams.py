@@ -272,3 +272,76 @@ def test_batched_inference_is_cached_and_aligned(spark, tmp_path):
     now = [0.0]
     bucket = inference.TokenBucket(2, 1, lambda: now[0], lambda s: now.__setitem__(0, now[0] + s))
     assert [bucket.take() for _ in range(3)] == [0.0, 0.5, 0.5]
+
+
+def test_a_stream_over_a_table_gives_committed_rows_only(spark, tmp_path):
+    t = Table(spark, str(tmp_path / "t"))
+    t.create("id int, v string", properties={"change_feed": "true"})
+    t.append(rows(spark, (1, "a"), (2, "b")))
+    t._write(rows(spark, (7, "lost")), t.state())  # a writer that died before its commit
+    t.compact()
+    t.update({"v": "'c'"}, "id = 1")
+    t.append(rows(spark, (3, "d")))
+    got = []
+    with pytest.raises(Exception, match="changed rows"):
+        windows.drain(windows.table_stream(spark, t.path), str(tmp_path / "c0"), lambda df, n: got.append(df.count()))
+    read = lambda df, n: got.extend(r["id"] for r in df.collect())
+    got.clear()
+    windows.drain(windows.table_stream(spark, t.path, skip_changes=True).transform(lambda df: df.filter("id < 3")), str(tmp_path / "c"), read)
+    assert sorted(got) == [1, 2]
+    t.append(rows(spark, (2, "e")))
+    windows.drain(windows.table_stream(spark, t.path, skip_changes=True), str(tmp_path / "c"), read)
+    assert sorted(got) == [1, 2, 2]
+
+
+def test_pruning_with_nan_and_time_zones(spark, tmp_path):
+    t = Table(spark, str(tmp_path / "n"))
+    t.append(spark.createDataFrame([(1.0,), (float("nan"),)], "x double").coalesce(1))
+    assert t.read(where=[("x", "=", 1.0)]).count() == 1 and t.read(where=[("x", ">", 5.0)]).count() == 1
+    assert t.merge(spark.createDataFrame([(1.0,)], "x double"), ["x"], update_if=None)["inserted"] == 0
+    z = Table(spark, str(tmp_path / "z"))
+    z.create("at timestamp, n timestamp_ntz, d date", generated={"d": ("date", "at")})
+    z.append(spark.sql("select timestamp'2024-01-01 23:30:00 UTC' as at, timestamp_ntz'2024-01-01 23:30:00' as n"))
+    try:
+        for zone in ("Asia/Tokyo", "America/Los_Angeles", "UTC"):
+            spark.conf.set("spark.sql.session.timeZone", zone)
+            at = z.read().select(F.col("at").cast("string")).first()[0]
+            assert z.read(where=[("at", "=", at)]).count() == 1 and z.read(where=[("n", "=", "2024-01-01 23:30:00")]).count() == 1
+            assert z.pruned(z.state(), [("at", "<", "2023-12-30")]) == [] and z.delete("at < timestamp'2023-12-30'") == {"deleted": 0}
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", "UTC")
+
+
+def test_one_transaction_commits_once_for_racing_writers(spark, tmp_path):
+    t, slow = Table(spark, str(tmp_path / "r")), Table(spark, str(tmp_path / "r"))
+    t.create("id int, v string")
+    late = slow._commit
+
+    def overtaken(*args, **kw):
+        t.append(rows(spark, (1, "a")), txn=("app", 5))
+        return late(*args, **kw)
+
+    slow._commit = overtaken
+    assert slow.append(rows(spark, (1, "a")), txn=("app", 5)) == {"inserted": 0}
+    assert content(t.read()) == [(1, "a")] and t.state()["txn"] == {"app": 5}
+
+
+def test_changes_read_only_files_that_statistics_leave(spark, tmp_path, monkeypatch):
+    t = Table(spark, str(tmp_path / "p"))
+    for i in range(4):
+        t.append(rows(spark, (i, "a"), (i + 10, "b")))
+    looked = []
+    real = Table._with_file
+    monkeypatch.setattr(Table, "_with_file", lambda self, state: looked.append(len(state["files"])) or real(self, state))
+    assert t.delete("id >= 13 and v = 'b'") == {"deleted": 1} and t.update({"v": "'z'"}, "id = 0 or id = 1") == {"updated": 2}
+    assert looked[0] == 1 < looked[1] and t.count() == 7
+
+
+def test_names_in_the_log_appear_whole(spark, tmp_path):
+    t = Table(spark, str(tmp_path / "l"))
+    t.create("id int")
+    t.log.local, t.log.root = False, f"file://{tmp_path / 'l'}"  # the way of other stores
+    t.append(spark.createDataFrame([(1,)], "id int"))
+    with pytest.raises(FileExistsError):
+        t.log.create(f"_log/{1:020d}.json", "{}")
+    assert t.read().count() == 1 and not [n for n in t.log.names("_log") if n.endswith(".tmp")]
