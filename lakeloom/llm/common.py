@@ -134,8 +134,17 @@ def gathered(batches: Iterator[pa.RecordBatch], rows: int) -> Iterator[pa.Record
         yield pa.concat_batches(held)
 
 
-def text_udf(function, schema: str):
-    """function(list of UTF-8 bytes or None, one per row) -> dict or tuple of columns, as an Arrow UDF that returns a struct.
+def whole_text(batch: pa.Array) -> list[bytes | None]:
+    """Texts as UTF-8; bytes of a string that are none (Spark doesn't check) count as U+FFFD."""
+    try:
+        batch.validate(full=True)
+        return batch.cast(pa.binary()).to_pylist()
+    except pa.ArrowInvalid:
+        return [t if t is None else t.decode("utf-8", "replace").encode() for t in batch.cast(pa.binary()).to_pylist()]
+
+
+def text_udf(function, schema: str, raw: bool = False):
+    """function(list of UTF-8 bytes or None, one per row) -> dict or tuple of columns, as an Arrow UDF that returns a struct. raw: bytes as they are.
 
     It is marked non-deterministic so that the optimizer never evaluates it twice for one row.
     """
@@ -145,7 +154,7 @@ def text_udf(function, schema: str):
     def apply(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
         run = function()
         for batch in texts:
-            arrays = [x if isinstance(x, pa.Array) else pa.array(x) for x in run(batch.cast(pa.binary()).to_pylist())]
+            arrays = [x if isinstance(x, pa.Array) else pa.array(x) for x in run(batch.cast(pa.binary()).to_pylist() if raw else whole_text(batch))]
             yield pa.StructArray.from_arrays(arrays, names=[n for n, _ in fields])
         _give_back()
 
@@ -183,6 +192,11 @@ def share_of(df: DataFrame, rate: float, seed: int, *columns: str) -> DataFrame:
     return df.filter(F.pmod(F.xxhash64(F.lit(seed), *columns), F.lit(most)) < F.lit(int(min(1.0, rate) * most)))
 
 
+def drawn(df: DataFrame, rate: float, most: int, seed: int, *columns: str) -> DataFrame:
+    """At most ``most`` rows of a share, those of the least hashes: bounded also where rows repeat."""
+    return share_of(df, rate, seed, *columns).orderBy(F.xxhash64(F.lit(seed), *columns)).limit(most)
+
+
 def slices(text: Column, seed: Column, length: int) -> Column:
     """A piece of at most length characters that starts at a place drawn from seed, for fitting models."""
     return F.substring(text, (F.pmod(seed, F.greatest(F.length(text) - length + 1, F.lit(1)).cast("long")) + 1).cast("int"), F.lit(length))

@@ -8,7 +8,8 @@ words of an item, or a whole shorter item. Runs of words that no item has are sk
 from __future__ import annotations
 
 import re
-from itertools import repeat
+from functools import reduce
+from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -19,8 +20,8 @@ from pyspark.sql import types as T
 from . import common
 
 WINDOW = 10
-#: Most words of one automaton. More items are handled in blocks of this size, each with a pass over the documents.
-BLOCK_WORDS = 2_000_000
+#: Most words of one automaton (about 140 MB). More items are handled in blocks of this size, each with a pass over the documents.
+BLOCK_WORDS = 200_000
 #: ASCII letters in lower case, digits and all other bytes of UTF-8 letters stay; the rest separates words.
 NORMAL = bytes(c if 0x30 <= c <= 0x39 or 0x61 <= c <= 0x7A or c >= 0x80 else c + 32 if 0x41 <= c <= 0x5A else 32 for c in range(256))
 
@@ -39,6 +40,7 @@ class Automaton:
         self.link, self.length = [-1], [0]
         ends: list[tuple[int, int]] = []
         wholes: list[tuple[int, int]] = []
+        items = list({(name, tuple(ws)): None for name, ws in items})  # a repeated item is one
         self.names = [name for name, _ in items]
         self.shortest = window
         for k, (_, ws) in enumerate(items):
@@ -60,14 +62,14 @@ class Automaton:
         for s, k in ends:
             if (q := self.at_window[s]) >= 0:
                 self.items.setdefault(q, set()).add(k)
-        # Whole short items that are suffixes of a state's words: those of its link and its own.
-        own: dict[int, list[int]] = {}
+        # Whole short items that are suffixes of a state's words: those of its link, and the set of its own, one entry a length.
+        own: dict[int, set[int]] = {}
         for s, k in wholes:
-            own.setdefault(s, []).append(k)
-        self.whole: list[tuple[tuple[int, int], ...]] = [()] * n
+            own.setdefault(s, set()).add(k)
+        self.whole: list[tuple[tuple[int, frozenset[int]], ...]] = [()] * n
         if own:
             for s in sorted(range(1, n), key=self.length.__getitem__):
-                self.whole[s] = self.whole[self.link[s]] + tuple((self.length[s], k) for k in own.get(s, ()))
+                self.whole[s] = self.whole[self.link[s]] + (((self.length[s], frozenset(own[s])),) if s in own else ())
 
     def _new(self, length: int, link: int, edges: dict[int, int]) -> int:
         self.next.append(edges)
@@ -121,10 +123,10 @@ class Automaton:
                 if size >= window:
                     spans.append((i - window + 1, i))
                     found |= self.items[self.at_window[s]]
-                for n, k in self.whole[s]:
+                for n, items in self.whole[s]:
                     if n <= size:
                         spans.append((i - n + 1, i))
-                        found.add(k)
+                        found |= items
         return spans, found
 
 
@@ -159,7 +161,7 @@ def automata(items: DataFrame, id_col: str = "item_id", text_col: str = "text",
 
 
 def searcher(spark, machine: Automaton):
-    """A UDF: text -> struct(n_words, spans, items); spans: disjoint, of hit words; items: their ids, distinct, without null."""
+    """A UDF, and what it broadcasts: text -> struct(n_words, spans, items); spans: disjoint, of hit words; items: their ids, distinct, without null."""
     shared = spark.sparkContext.broadcast(machine)
 
     def start():
@@ -177,38 +179,52 @@ def searcher(spark, machine: Automaton):
 
         return run
 
-    return common.text_udf(start, "n_words bigint, spans array<struct<first: int, last: int>>, items array<string>")
+    return common.text_udf(start, "n_words bigint, spans array<struct<first: int, last: int>>, items array<string>"), shared
 
 
 def search(docs: DataFrame, items: DataFrame, text_col: str = "text", item_id: str = "item_id", item_text: str = "text", window: int = WINDOW, out: str = "hits", block_words: int = BLOCK_WORDS) -> DataFrame:
     """docs with a struct column ``out`` (n_words, spans, items).
 
-    An item with a null id counts for the spans and isn't listed. Repeated item ids are listed once. Without items nothing
-    is hit. More blocks of items than one add one UDF each; their spans are united.
+    An item with a null id counts for the spans and isn't listed. Repeated items count once. Without items nothing is hit.
+    Where the items fill several blocks, each block is searched by itself and the rows that it hits are written, so the
+    driver and the workers hold one block at a time; the spans of a row are then united.
     """
     spark = docs.sparkSession
     common.prepare(spark)
-    text = F.col(text_col)
-    machines = list(automata(items, item_id, item_text, window, block_words))
-    found = [searcher(spark, m)(text) for m in machines or [Automaton([], window)]]
-    if len(found) == 1:
-        return docs.withColumn(out, found[0])
-    parts = [f"__hits_{i}" for i in range(len(found))]
-    docs = docs.withColumns(dict(zip(parts, found, strict=True)))
-    spans = F.array_sort(F.flatten(F.array(*(F.col(p)["spans"] for p in parts))))
+    blocks = automata(items, item_id, item_text, window, block_words)
+    first, second = next(blocks, None) or Automaton([], window), next(blocks, None)
+    if second is None:
+        return docs.withColumn(out, searcher(spark, first)[0](F.col(text_col)))
+    number, found = common.fresh("row_number", docs), common.fresh("found", docs)
+    rows = common.numbered(docs, number)
+    hits = []
+    for machine in chain([first, second], blocks):
+        find, shared = searcher(spark, machine)
+        hit = rows.select(number, find(F.col(text_col)).alias(found)).filter(F.size(F.col(found)["spans"]) > 0)
+        hits.append(common.stored(hit.select(number, F.col(found)["spans"].alias("s"), F.col(found)["items"].alias("i")), "hits"))
+        shared.destroy()
+        first = second = machine = None
+    met = reduce(DataFrame.unionByName, hits).groupBy(number).agg(F.array_sort(F.flatten(F.collect_list("s"))).alias("s"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("i")))).alias("i"))  # one entry a block
     united = F.aggregate(
-        spans,
+        "s",
         F.expr("cast(array() as array<struct<first:int,last:int>>)"),
         lambda acc, s: F.when((F.size(acc) > 0) & (s["first"] <= F.try_element_at(acc, F.lit(-1))["last"] + 1),
                               F.concat(F.slice(acc, 1, F.greatest(F.size(acc) - 1, F.lit(0))), F.array(F.struct(F.try_element_at(acc, F.lit(-1))["first"].alias("first"), F.greatest(F.try_element_at(acc, F.lit(-1))["last"], s["last"]).alias("last")))))
         .otherwise(F.concat(acc, F.array(s))),
     )
-    ids = F.array_sort(F.array_distinct(F.flatten(F.array(*(F.col(p)["items"] for p in parts)))))
-    return docs.withColumn(out, F.struct(F.col(parts[0])["n_words"].alias("n_words"), united.alias("spans"), ids.alias("items"))).drop(*parts)
+    met = met.select(F.col(number).alias("n"), F.struct(united.alias("spans"), F.col("i").alias("items")).alias("m"))
+    none = searcher(spark, Automaton([], window))[0](F.col(text_col))
+    joined = rows.withColumn(found, none).join(met, rows[number] == met["n"], "left")
+    whole = F.struct(F.col(found)["n_words"].alias("n_words"), F.coalesce(met["m"]["spans"], F.col(found)["spans"]).alias("spans"), F.coalesce(met["m"]["items"], F.col(found)["items"]).alias("items"))
+    return joined.select(*[rows[c] for c in docs.columns if c != out], whole.alias(out))
 
 
 def report(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", **kw) -> DataFrame:
-    """One row per row of docs: id, n_words, n_hit, n_items, items_sha256, contaminated."""
+    """One row per row of docs: id, n_words, n_hit, n_items, items_sha256, contaminated.
+
+    A null or empty text has no words and no hits. Repeated rows, and null ids, have rows of their own; repeated items count
+    once. No other column is read. Without items nothing is hit; an empty table gives an empty one.
+    """
     hits = search(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")), items, "text", out="h", **kw)
     n_hit = F.aggregate("h.spans", F.lit(0).cast("bigint"), lambda a, s: a + s["last"] - s["first"] + 1)
     return hits.select(
@@ -254,17 +270,21 @@ def cleaner(spark, machine: Automaton, max_coverage: float, min_span: int):
 def decontaminate(docs: DataFrame, items: DataFrame, text_col: str = "text", max_coverage: float = 0.5, min_span: int = 1, item_id: str = "item_id", item_text: str = "text", window: int = WINDOW, block_words: int = BLOCK_WORDS) -> DataFrame:
     """docs without test items: hit spans of at least min_span words are cut out of a text; a text of which more than max_coverage is hit goes.
 
-    A document without hits stays as it is. With one block of items a single UDF searches and cuts.
+    A document without hits, an empty or null one too, stays as it is; so do repeated rows and other columns, whatever their
+    names. Without items all documents stay. With one block of items a single UDF searches and cuts.
     """
     common.prepare(docs.sparkSession)
-    machines = list(automata(items, item_id, item_text, window, block_words))
-    if len(machines) <= 1:
-        udf = cleaner(docs.sparkSession, machines[0] if machines else Automaton([], window), max_coverage, min_span)
-        done = docs.withColumn("__clean", udf(F.col(text_col))).filter("__clean.keep")
-        return done.withColumn(text_col, F.coalesce("__clean.text", text_col)).drop("__clean")
-    hits = search(docs, items, text_col, item_id, item_text, window, "__hits", block_words)
-    spans = F.filter("__hits.spans", lambda s: s["last"] - s["first"] + 1 >= min_span)
-    share = F.aggregate("__hits.spans", F.lit(0), lambda a, s: a + s["last"] - s["first"] + 1) / F.greatest(F.col("__hits.n_words"), F.lit(1))
+    blocks = automata(items, item_id, item_text, window, block_words)
+    first = next(blocks, None) or Automaton([], window)
+    if next(blocks, None) is None:
+        udf = cleaner(docs.sparkSession, first, max_coverage, min_span)
+        clean = common.fresh("clean", docs)
+        done = docs.withColumn(clean, udf(F.col(text_col))).filter(F.col(clean)["keep"])
+        return done.withColumn(text_col, F.coalesce(F.col(clean)["text"], text_col)).drop(clean)
+    found, long = common.fresh("hits", docs), common.fresh("spans", docs)
+    hits = search(docs, items, text_col, item_id, item_text, window, found, block_words)
+    spans = F.filter(F.col(found)["spans"], lambda s: s["last"] - s["first"] + 1 >= min_span)
+    share = F.aggregate(F.col(found)["spans"], F.lit(0), lambda a, s: a + s["last"] - s["first"] + 1) / F.greatest(F.col(found)["n_words"], F.lit(1))
     cut = F.arrow_udf(_cut_all, T.StringType())
-    kept = hits.withColumn("__spans", spans).filter(share <= max_coverage)
-    return kept.withColumn(text_col, F.when(F.size("__spans") > 0, cut(F.col(text_col), F.col("__spans"))).otherwise(F.col(text_col))).drop("__hits", "__spans")
+    kept = hits.withColumn(long, spans).filter(share <= max_coverage)
+    return kept.withColumn(text_col, F.when(F.size(long) > 0, cut(F.col(text_col), F.col(long))).otherwise(F.col(text_col))).drop(found, long)

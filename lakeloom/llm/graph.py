@@ -17,12 +17,21 @@ def _stars(edges: DataFrame, large: bool) -> DataFrame:
     least = both.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("u", "m"))
     linked = both.join(least, "u")
     if large:
-        out = linked.filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-    else:
-        out = linked.filter("v != m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(least.select("u", F.col("m").alias("v")))
+        return linked.filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u != v")
+    out = linked.filter("v != m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(least.select("u", F.col("m").alias("v")))
     return out.filter("u != v").distinct()
 
 
+def shortened(edges: DataFrame) -> DataFrame:
+    """A written table of edges (u, v), u > v, that connect what these connect, by one round of both stars: a star of edges becomes one of its least node."""
+    return stored(_stars(_stars(edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).filter("u != v"), True), False), "stars")
+
+
+def labels(edges: DataFrame) -> DataFrame:
+    """(node, label): a node that each node with a lesser neighbour is connected with. Equal labels tell of one component; unequal ones of nothing."""
+    return edges.groupBy(F.col("u").alias("node")).agg(F.min("v").alias("label"))
+
+
 def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     """(node, component) of every node of an edge (u, v); component: its least node. Loops and repeated edges do no harm.
 

@@ -10,6 +10,7 @@ is left out. Training is backpropagation through time on a bounded sample of lab
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -18,8 +19,10 @@ from pyspark.sql import functions as F
 from . import common
 
 HIDDEN, SEGMENT, LANES = 8, 256, 512
-#: Fitting: rows a language (bounded sample), bytes of one piece, pieces a step, steps, most languages.
-ROWS_PER_LANG, PIECE, PIECES, STEPS, MAX_LANGS = 400, 48, 96, 500, 128
+#: Fitting: rows a language and in all (bounded sample), bytes of one piece, pieces a step, steps.
+ROWS_PER_LANG, ROWS, PIECE, PIECES, STEPS = 400, 20_000, 48, 96, 500
+#: Bytes of texts that are laid out at once.
+AT_ONCE = 1 << 20
 LETTER = re.compile(r"[^\W\d_]")
 UNDETERMINED = "und"
 
@@ -38,6 +41,21 @@ def pieces(texts: list[bytes], length: int) -> tuple[np.ndarray, np.ndarray, np.
     return flat[base[order] + np.arange(length)[:, None]], lens[order], owner[order]
 
 
+def portions(texts: list[bytes], most: int) -> Iterator[tuple[np.ndarray, list[bytes]]]:
+    """Texts in groups of about ``most`` bytes, with their numbers; a longer text is cut at whole segments, so its segments stay the same."""
+    numbers, group, size = [], [], 0
+    for i, t in enumerate(texts):
+        for at in range(0, len(t), most):
+            if size and size + len(t) - at > most:
+                yield np.array(numbers), group
+                numbers, group, size = [], [], 0
+            numbers.append(i)
+            group.append(t[at : at + most])
+            size += len(group[-1])
+    if group:
+        yield np.array(numbers), group
+
+
 class Network:
     """The parameters, and what is computed with them."""
 
@@ -90,12 +108,13 @@ class Network:
     def pooled(self, texts: list[bytes]) -> np.ndarray:
         """Mean probabilities (text, language) over all bytes; zeros for an empty text."""
         total = np.zeros((len(texts), len(self.langs)))
-        codes, lens, owner = pieces(texts, SEGMENT)
-        for i in range(0, len(lens), LANES):
-            n = lens[i : i + LANES]
-            p = self.positions(codes[: n[0], i : i + LANES], n)
-            p *= (np.arange(n[0])[:, None] < n)[:, :, None]
-            np.add.at(total, owner[i : i + LANES], p.sum(0))
+        for numbers, group in portions(texts, AT_ONCE):
+            codes, lens, owner = pieces(group, SEGMENT)
+            for i in range(0, len(lens), LANES):
+                n = lens[i : i + LANES]
+                p = self.positions(codes[: n[0], i : i + LANES], n)
+                p *= (np.arange(n[0])[:, None] < n)[:, :, None]
+                np.add.at(total, numbers[owner[i : i + LANES]], p.sum(0))
         return total / np.maximum(1, [[len(t)] for t in texts])
 
     def gradients(self, codes: np.ndarray, lens: np.ndarray, label: np.ndarray) -> tuple[float, dict[str, np.ndarray]]:
@@ -149,17 +168,19 @@ def fit(rows: list[tuple[bytes, str]], steps: int = STEPS, seed: int = 11) -> Ne
 
 
 def sample(docs: DataFrame, id_col: str, text_col: str, lang_col: str, per_lang: int) -> list[tuple[bytes, str]]:
-    """About per_lang labelled rows of each language, a piece of each; bounded by per_lang x MAX_LANGS pieces."""
+    """About per_lang labelled rows of each language, a piece of each; ROWS in all, but one of each language at least."""
     known = docs.filter(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
-    counts = known.groupBy(F.col(lang_col).alias("lang")).count().orderBy(F.desc("count"), "lang").limit(MAX_LANGS).collect()
+    counts = known.groupBy(F.col(lang_col).alias("lang")).count().orderBy("lang").collect()  # one row a language
     if not counts:
         return []
+    per_lang = max(1, min(per_lang, ROWS // len(counts)))
     rate = F.element_at(F.create_map(*(x for r in counts for x in (F.lit(r["lang"]), F.lit(int(min(1.0, 1.2 * per_lang / r["count"]) * (1 << 40)))))), F.col(lang_col))
     key = F.xxhash64(F.lit(17), F.col(id_col), F.length(text_col))
-    drawn = known.filter(F.pmod(key, F.lit(1 << 40)) < rate).select(key.alias("k"), common.slices(F.col(text_col), F.xxhash64(F.lit(3), key), 4 * PIECE).alias("t"), F.col(lang_col).alias("lang")).collect()
+    drawn = known.filter(F.pmod(key, F.lit(1 << 40)) < rate).select(key.alias("k"), common.slices(F.col(text_col), F.xxhash64(F.lit(3), key), 4 * PIECE).alias("t"), F.col(lang_col).alias("lang"))
+    drawn = drawn.groupBy("k", "t", "lang").count().orderBy("k", "t").limit(2 * per_lang * len(counts)).collect()  # repeated rows count once
     seen: dict[str, int] = {}
     out = []
-    for r in sorted(drawn, key=lambda r: (r["k"], r["t"])):
+    for r in drawn:
         seen[r["lang"]] = seen.get(r["lang"], 0) + 1
         if seen[r["lang"]] <= per_lang:
             out.append((r["t"].encode(), r["lang"]))
@@ -167,7 +188,7 @@ def sample(docs: DataFrame, id_col: str, text_col: str, lang_col: str, per_lang:
 
 
 def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_lang: int = ROWS_PER_LANG) -> Network | None:
-    """A network fitted to a bounded sample: per_lang rows of each of the MAX_LANGS most frequent languages."""
+    """A network fitted to a bounded sample of each language; None if no row has a text and a language."""
     return fit(sample(docs, id_col, text_col, lang_col, per_lang))
 
 
@@ -190,6 +211,10 @@ def predictor(net: Network | None):
 
 
 def identify(docs: DataFrame, net: Network | None, text_col: str = "text", out: str = "language") -> DataFrame:
-    """docs with a struct column ``out`` (lang_pred, score); every other column, whatever its name, passes through."""
+    """docs with a struct column ``out`` (lang_pred, score); every other column passes through.
+
+    A null, empty or letterless text is ``und`` with score 0. Equal texts, repeated rows too, get equal values; of languages
+    that tie the first by name wins. An empty table gives an empty one. A text of any length is read as a whole.
+    """
     common.prepare(docs.sparkSession)
     return docs.withColumn(out, predictor(net)(F.col(text_col)))

@@ -25,19 +25,26 @@ def payload(text: bytes | None) -> bytes:
 
 def to_media(data: bytes) -> bytes:
     """WebP files, one after the other, that hold the payload's bytes as samples (blue, green, red, alpha)."""
-    return b"".join(webp.encode_plain(np.frombuffer(data, np.uint8, len(data[i : i + MOST]), i).reshape(-1, COLUMNS, 4)) for i in range(0, len(data), MOST))
+    return b"".join(webp.encode_best(np.frombuffer(data, np.uint8, len(data[i : i + MOST]), i).reshape(-1, COLUMNS, 4)) for i in range(0, len(data), MOST))
 
 
-def images(media: bytes) -> list[np.ndarray]:
-    """The pixel arrays of concatenated WebP files."""
+def files(media: bytes) -> list[bytes]:
+    """Concatenated WebP files one by one."""
     out, at = [], 0
     while at < len(media):
         end = at + 8 + int.from_bytes(media[at + 4 : at + 8], "little")
-        out.append(webp.decode(media[at:end]))
+        out.append(media[at:end])
         at = end
     return out
 
 
+def images(stored: list[bytes]) -> list[list[np.ndarray]]:
+    """The pixel arrays of each entry's files; all are decoded together."""
+    parts = [files(m) for m in stored]
+    pixels = iter(webp.decode_many([f for p in parts for f in p]))
+    return [[next(pixels) for _ in p] for p in parts]
+
+
 def feature(pixels: list[np.ndarray]) -> str:
     """Size, mean of each channel and entropy of the samples, from the pixel arrays."""
     flat = [p.reshape(-1, 4) for p in pixels]
@@ -58,7 +65,7 @@ def encoder():
 
         return run
 
-    return common.text_udf(start, "n_bytes bigint, media binary")
+    return common.text_udf(start, "n_bytes bigint, media binary", raw=True)
 
 
 def reader():
@@ -67,8 +74,7 @@ def reader():
     def start():
         def run(stored: list[bytes]):
             rows = []
-            for m in stored:
-                pixels = images(m)
+            for m, pixels in zip(stored, images(stored), strict=True):
                 data = b"".join(p.tobytes() for p in pixels)
                 rows.append((len(data), hashlib.sha256(data).hexdigest(), zlib.crc32(data[-ALIGN:]), len(m), hashlib.sha256(m).hexdigest(), feature(pixels)))
             kinds = (pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string())
@@ -76,7 +82,7 @@ def reader():
 
         return run
 
-    return common.text_udf(start, "payload_bytes bigint, payload_sha256 string, tail_crc32 bigint, media_bytes bigint, media_sha256 string, feature string")
+    return common.text_udf(start, "payload_bytes bigint, payload_sha256 string, tail_crc32 bigint, media_bytes bigint, media_sha256 string, feature string", raw=True)
 
 
 def write(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -87,7 +93,11 @@ def write(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
 
 
 def describe(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per row of docs: id, n_bytes, and what reader() finds in the stored bytes. Equal texts give equal values."""
+    """One row per row of docs: id, n_bytes, and what reader() finds in the stored bytes. Equal texts give equal values.
+
+    A null text is an empty one, which is a payload of 64 zeros. Repeated rows have rows of their own; an empty table gives an
+    empty one; no other column is read. A payload over 1 MiB is stored as several WebP files, one after the other.
+    """
     stored = write(docs, id_col, text_col)
     read = stored.select(F.col("id").alias(id_col), "n_bytes", reader()(F.col("media")).alias("r"))
     return read.select(id_col, "n_bytes", "r.*")

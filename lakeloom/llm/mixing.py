@@ -18,8 +18,8 @@ from . import common
 
 MOST = 3.0
 WEIGHTS = (1, 2, 3)
-#: Newton steps at most, and the relative error of a source's tokens at which they end.
-STEPS, TOLERANCE = 40, 1e-7
+#: Newton steps at most (more is an error), and the relative error of a source's tokens at which they end.
+STEPS, TOLERANCE = 200, 1e-7
 #: Parts into which documents of one source and size are dealt before they are numbered.
 DEALS = 512
 
@@ -61,20 +61,23 @@ def balance(histogram: DataFrame, sources: DataFrame, most: float = MOST) -> Dat
     lo = F.when(F.col("target") < F.col("all"), F.log(F.greatest(F.col("target") / F.col("all"), F.lit(1e-12))) / F.col("low")).otherwise(0.0)
     state = common.stored(start.select("rank", lo.alias("lo"), hi.alias("hi"), F.when(F.col("target") >= F.col("all") * most * (1 - 1e-12), hi).otherwise(F.lit(0.0)).alias("multiplier")), "multipliers")
     for _ in range(STEPS):
+        state_now = state.select("rank", "lo", "hi", "multiplier")
         rate = _rate(F.col("multiplier"), F.col("x"), most)
         free = F.col("multiplier") * F.col("x") < math.log(most)
-        sums = full.join(state, "rank").groupBy("rank", "lo", "hi", "multiplier", "target").agg(F.sum(rate * F.col("tokens")).alias("got"), F.sum(F.when(free, rate * F.col("tokens") * F.col("x")).otherwise(0.0)).alias("slope"))
+        sums = full.join(state_now, "rank").groupBy("rank", "lo", "hi", "multiplier", "target").agg(F.sum(rate * F.col("tokens")).alias("got"), F.sum(F.when(free, rate * F.col("tokens") * F.col("x")).otherwise(0.0)).alias("slope"))
         miss = F.col("got") - F.col("target")
         lo, hi = F.when(miss <= 0, F.col("multiplier")).otherwise(F.col("lo")), F.when(miss >= 0, F.col("multiplier")).otherwise(F.col("hi"))
         newton = F.col("multiplier") - miss / F.when(F.col("slope") > 0, F.col("slope"))
         moved = F.when((newton > F.col("lo")) & (newton < F.col("hi")), newton).otherwise((F.col("lo") + F.col("hi")) / 2)
         error = F.abs(miss) / F.greatest("target", F.lit(1.0))
         stepped = sums.withColumn("error", error).withColumns({"lo": lo, "hi": hi}).withColumn("multiplier", F.when(F.col("error") < TOLERANCE, F.col("multiplier")).otherwise(moved))
-        state = common.stored(stepped.select("rank", "lo", "hi", "multiplier", "error"), "multipliers")
+        before, state = state, common.stored(stepped.select("rank", "lo", "hi", "multiplier", "error"), "multipliers")
+        common.release(before)
         worst = state.agg(F.max("error")).first()[0]
-        state = state.drop("error")
         if worst is None or worst < TOLERANCE:
             break
+    else:
+        raise RuntimeError(f"the multipliers did not settle in {STEPS} steps")
     return state.select("rank", "multiplier")
 
 

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import common, golay
-from .graph import components
+from .graph import components, labels, shortened
 
 SEED, PARTS, TABLES = 42, 4, 9
 #: Bits that may differ between a member of a bucket and the one it is tied to. Pairs beyond are left to the exact pass.
@@ -258,25 +258,25 @@ def meetings(classes: DataFrame) -> DataFrame:
 
 
 def closed(classes: DataFrame, texts: DataFrame, tested: DataFrame, links: DataFrame, k: int, similarity: float) -> DataFrame:
-    """All links needed: those given, and more until no two similar texts are in different components.
+    """Edges that connect what the given links connect, and all other similar texts.
 
     Texts that share a shingle of their prefixes meet in a bucket. Round r compares the texts of level r with all after them
-    that are in another component, so each pair is compared in the round of its first text or is joined by then. Pairs whose
-    sizes or whose places of the shingle rule the similarity out are not compared: of a pair's first common shingle both
-    bounds hold.
+    that are not known to be connected with them, so each pair is compared in the round of its first text or is joined by
+    then. Pairs whose sizes or whose places of the shingle rule the similarity out are not compared: of a pair's first common
+    shingle both bounds hold.
     """
-    met, level = meetings(classes), 0
+    met, level, edges = meetings(classes), 0, shortened(links)
     while True:
-        known = components(links)
-        now = met.drop("component").join(known.withColumnRenamed("node", "id"), "id", "left").withColumn("component", F.coalesce("component", "id"))
+        known = labels(edges)
+        now = met.drop("component").join(known.select(F.col("node").alias("id"), F.col("label").alias("component")), "id", "left").withColumn("component", F.coalesce("component", "id"))
         open_keys = now.groupBy("key").agg(F.min("component").alias("a"), F.max("component").alias("b")).filter("a < b").select("key")
         still = common.stored(now.join(open_keys, "key", "left_semi"), "open")
-        common.release(met, known)
+        common.release(met)
         met = still
         most = met.agg(F.max("level")).first()[0]
         if most is None or most < level:
             common.release(met)
-            return links
+            return edges
         x, y = (met.select("key", *(F.col(c).alias(f"{c}_{side}") for c in ("id", "n", "pos", "score", "level", "component"))) for side in "xy")
         pairs = x.filter(F.col("level_x") == level).join(y, "key").filter("component_x <> component_y")
         pairs = pairs.filter("score_x > score_y or score_x = score_y and id_x > id_y")
@@ -285,7 +285,9 @@ def closed(classes: DataFrame, texts: DataFrame, tested: DataFrame, links: DataF
         pairs = pairs.filter(both >= (F.col("n_x") + F.col("n_y")) * (similarity / (1 + similarity)) - 1e-9)
         pairs = pairs.select(F.least("id_x", "id_y").alias("u"), F.greatest("id_x", "id_y").alias("v")).distinct()
         pairs = common.stored(pairs.join(tested, ["u", "v"], "left_anti"), "pairs")
-        tested, links = tested.union(pairs), links.union(links_of(pairs, texts, k, similarity))
+        found, before = links_of(pairs, texts, k, similarity), edges
+        tested, edges = tested.union(pairs), shortened(edges.union(found))
+        common.release(found, before)
         level += 1
 
 
@@ -304,8 +306,8 @@ def row_components(texts: DataFrame, shingle: int = 5, similarity: float = 0.8)
     buckets = classes.select("id", "n", *WIDE, *LEAST).filter("n > 0").mapInArrow(keyed(similarity), sent)
     edges = buckets.repartition("key").sortWithinPartitions("key", "id").mapInArrow(close(similarity), "u bigint, v bigint")
     edges = common.stored(edges.filter("u <> v").distinct(), "candidates")
-    links = closed(classes, texts, edges, links_of(edges, texts, shingle, similarity), shingle, similarity)
-    groups = components(links).withColumnRenamed("node", "id")
+    links = links_of(edges, texts, shingle, similarity)
+    groups = components(closed(classes, texts, edges, links, shingle, similarity)).withColumnRenamed("node", "id")
     known = common.stored(classes.select("id", *WHOLE, "n").join(groups, "id", "left").select(*WHOLE, "n", F.coalesce("component", "id").alias("component")), "members")
     common.release(classes)
     return rows.join(known, [*WHOLE, "n"]).select("id", "component")

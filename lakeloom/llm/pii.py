@@ -12,6 +12,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from . import common
+
 ROUNDS = 8
 DEMO_KEY = "demonstration key, replace it"
 #: Dates from this day on, DATE_A x DATE_B days, are permuted among themselves.
@@ -112,12 +114,13 @@ def pseudonymise(docs: DataFrame, text_col: str = "text", key: str = DEMO_KEY, o
     """docs with the text's valid personal data replaced, in place or in a new column ``out``.
 
     found: a column for the array of struct(value, pseudonym) of all matches; a match that isn't valid keeps its value.
-    Null stays null, a text without matches stays as it is. No Python runs: a text is split at the matches and joined again.
+    Null stays null, a text without matches (an empty one too) stays as it is; equal values have equal pseudonyms in all rows.
+    Other columns pass through, whatever their names; an empty table gives an empty one. No Python runs: a text is split at the matches and joined again.
     """
     text = F.col(text_col)
     matches = F.when(text.rlike("[0-9@]"), F.regexp_extract_all(text, F.lit(PATTERN), F.lit(0)))
     pairs = F.transform(matches, lambda m: F.struct(m.alias("value"), m.alias("pseudonym")))
-    tmp = "__pii_found"
+    tmp = common.fresh("pii_found", docs)
     staged = docs.withColumn(tmp, pairs).withColumn(tmp, F.expr(f"transform({tmp}, p -> named_struct('value', p.value, 'pseudonym', {pseudonym('p.value', key)}))"))
     staged = staged.withColumn(out or text_col, _joined(text, F.col(tmp)))
     return staged.withColumnRenamed(tmp, found) if found else staged.drop(tmp)

@@ -21,6 +21,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The predicted language of every document; see langid.identify for nulls, empty texts and ties."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     held = common.crc_mod("doc_id", 5) == 0
     net = langid.train(docs.filter(~held))
@@ -28,15 +29,18 @@ def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Word-frequency and model scores of every document; see lm.score."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return lm.score(docs, common.crc_mod("doc_id", 7) != 2, tokenizer_path())
 
 
 def op3_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints within 3 bits of each other, as components; see simhash.near_duplicates."""
     return simhash.near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity scores of every document, empty ones included; see toxicity.train and toxicity.score."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     held = common.crc_mod("doc_id", 3) == 1
     model = toxicity.train(docs, table(spark, sf_dir, "labels"), lambda name: common.crc_mod(name, 3) != 1)
@@ -45,23 +49,28 @@ def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_pii_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Texts with pseudonyms for personal data, and how many values were found and replaced; see pii.pseudonymise."""
     docs = pii.pseudonymise(table(spark, sf_dir, "documents").select("doc_id", "text"), found="found")
     return docs.select("doc_id", "text", F.greatest(F.size("found"), F.lit(0)).alias("n_found"), F.coalesce(F.size(F.filter("found", lambda p: p["value"] != p["pseudonym"])), F.lit(0)).alias("n_replaced"))
 
 
 def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of each document inside benchmark windows, and the items; see decontam.report."""
     return decontam.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
 def op7_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words that the mix takes of each document; see mixing.mix."""
     return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
 def op8_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token ids in files, and what is read back from them; see tokens.export."""
     return tokens.export(table(spark, sf_dir, "documents"), tokenizer_path())
 
 
 def op9_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Texts as stored images, and what is read back from them; see media.describe."""
     return media.describe(table(spark, sf_dir, "documents"))
 
 

@@ -22,6 +22,8 @@ from . import common, golay
 from .graph import components
 
 SEED, MAX_BITS = 42, 3
+#: Shingle hashes that are spread into bits at once.
+HASHES = 1 << 16
 #: Bits of each block, and of the two segments among the bits outside it.
 BLOCK, SEGMENTS = 16, ((0, 23), (23, 23))
 
@@ -30,31 +32,36 @@ def fingerprints(texts: list[bytes | None], shingle: int) -> np.ndarray:
     """Unsigned 64-bit fingerprints of lower-cased word shingles; 0 for a text without words."""
     from xxhash import xxh64_intdigest
 
+    ones, counts = np.zeros((len(texts), 64), np.int64), np.zeros(len(texts), np.int64)
     hashes: list[int] = []
-    counts = np.zeros(len(texts), np.int64)
+    owner: list[tuple[int, int]] = []
+
+    def add() -> None:
+        bits = np.unpackbits(np.array(hashes, np.uint64).view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+        sizes = np.array([c for _, c in owner])
+        np.add.at(ones, [n for n, _ in owner], np.add.reduceat(bits, np.cumsum(sizes) - sizes, axis=0, dtype=np.int64))
+        hashes.clear()
+        owner.clear()
+
     for n, t in enumerate(texts):
         words = (t or b"").lower().split()
         if not words:
             continue
         flat = b" ".join(words)
-        if len(words) <= shingle:
-            hashes.append(xxh64_intdigest(flat, SEED))
-            counts[n] = 1
-            continue
         ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
         starts = np.concatenate([[0], ends[:-1] + 1])
-        spans = map(slice, starts[: len(words) - shingle + 1].tolist(), ends[shingle - 1 :].tolist())
-        hashes.extend(map(xxh64_intdigest, map(flat.__getitem__, spans), repeat(SEED)))
-        counts[n] = len(words) - shingle + 1
-    out = np.zeros(len(texts), np.uint64)
-    bits = np.unpackbits(np.array(hashes, np.uint64).view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-    at = 0
-    for n in np.flatnonzero(counts):
-        c = counts[n]
-        set_bits = bits[at : at + c].sum(0, dtype=np.int64) * 2 > c
-        out[n] = np.packbits(set_bits, bitorder="little").view(np.uint64)[0]
-        at += c
-    return out
+        counts[n] = max(1, len(words) - shingle + 1)
+        last = ends[shingle - 1 :] if len(words) > shingle else ends[-1:]
+        for a in range(0, int(counts[n]), HASHES):
+            spans = map(slice, starts[a : min(a + HASHES, int(counts[n]))].tolist(), last[a : a + HASHES].tolist())
+            before = len(hashes)
+            hashes.extend(map(xxh64_intdigest, map(flat.__getitem__, spans), repeat(SEED)))
+            owner.append((n, len(hashes) - before))
+            if len(hashes) >= HASHES:
+                add()
+    if owner:
+        add()
+    return np.packbits(ones * 2 > counts[:, None], axis=1, bitorder="little").view(np.uint64).reshape(-1)
 
 
 def fingerprint(shingle: int):
@@ -62,8 +69,7 @@ def fingerprint(shingle: int):
 
     def start():
         def run(texts: list[bytes | None]):
-            step = 200  # so that no more than a few documents' hashes are spread into bits at once
-            return (np.concatenate([np.zeros(0, np.uint64), *(fingerprints(texts[i : i + step], shingle) for i in range(0, len(texts), step))]).view(np.int64),)
+            return (fingerprints(texts, shingle).view(np.int64),)
 
         return run
 
@@ -160,7 +166,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """One row per row of docs: id, fingerprint (16 hex digits), component_id (least id that can be reached).
 
     A null or empty text has fingerprint zero and is linked like any other. A null id joins its component but is never its
-    least id; a component of null ids only has a null component_id. Equal fingerprints are one node, so a large group of
+    least id; a component of null ids only has a null component_id. An empty table gives an empty one; other columns are
+    not read. A text of any length is read as a whole, in slices. Equal fingerprints are one node, so a large group of
     copies costs one row; the way back from fingerprints to rows is a join whose skewed side Spark may split.
     """
     common.prepare(docs.sparkSession)

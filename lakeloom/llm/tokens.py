@@ -277,14 +277,17 @@ def digest(spark: SparkSession, target: str) -> DataFrame:
     totals = slices.groupBy("file", "slice").agg(F.sum("n_tokens").alias("total"))
     totals = totals.withColumn("before", F.sum("total").over(Window.partitionBy("file").orderBy("slice")) - F.col("total"))
     files = totals.groupBy("file").agg(F.sum("total").alias("in_file"))
-    files = files.withColumn("earlier", F.sum("in_file").over(Window.orderBy("file")) - F.col("in_file"))
+    files = files.withColumn("earlier", F.sum("in_file").over(Window.orderBy(F.regexp_extract("file", r"part-(\d+)", 1).cast("bigint"), "file")) - F.col("in_file"))  # by number: names stop sorting at 100,000 files
     within = Window.partitionBy("file", "slice").orderBy("row")
     placed = slices.withColumn("inside", F.sum("n_tokens").over(within) - F.col("n_tokens"))
     return placed.join(totals.select("file", "slice", "before"), ["file", "slice"]).join(files.select("file", "earlier"), "file").select("doc_id", (F.col("inside") + F.col("before") + F.col("earlier")).cast("long").alias("start"), "n_tokens", "ids_crc32")
 
 
 def export(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", **kw) -> DataFrame:
-    """write() into the shared folder and the digest of what was written."""
+    """write() into the shared folder and the digest of what was written: one row per row of docs, repeated ones too.
+
+    A null or empty text is its end id alone. An empty table gives an empty one; other columns are not read.
+    """
     target = f"{common.shared_dir(docs.sparkSession)}/tokens-{uuid.uuid4().hex}"
     write(docs, target, path, id_col, text_col, **kw)
     return digest(docs.sparkSession, target)

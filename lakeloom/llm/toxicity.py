@@ -8,16 +8,16 @@ prior's share of the positive ones and is kept from turning negative (the non-ne
 from __future__ import annotations
 
 import re
-import zlib
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import common
 
-#: Fitting (a bounded sample): confirmed toxic texts, unlabelled texts, longest text among them; features kept; steps.
-POSITIVES, UNLABELLED, LONGEST, FEATURES, STEPS = 1500, 4500, 6000, 3000, 300
+#: Fitting (a bounded sample of whole texts): confirmed toxic ones, unlabelled ones; features kept; steps.
+POSITIVES, UNLABELLED, FEATURES, STEPS = 1500, 4500, 3000, 300
 THRESHOLD = 0.7
 STEM = (4, 5)
 WORD = re.compile(r"[^\W\d_]+")
@@ -33,18 +33,18 @@ class Classifier:
     def __init__(self, weights: dict[str, float], bias: float):
         self.weights, self.bias = weights, bias
 
-    def score(self, text: bytes | None) -> float:
+    def scores(self, texts: list[bytes | None]) -> np.ndarray:
         w = self.weights
-        x = self.bias + sum(w[f] for f in features(text) & w.keys())
-        return float(1 / (1 + np.exp(-np.clip(x, -50, 50))))
+        x = np.fromiter((self.bias + sum(w[f] for f in sorted(features(t) & w.keys())) for t in texts), np.float64, len(texts))
+        return 1 / (1 + np.exp(-np.clip(x, -50, 50)))
 
 
-def fit(positive: list[bytes], unlabelled: list[bytes], prior: float, steps: int = STEPS) -> Classifier:
-    """Minimise prior R_p(+) + max(0, R_u(-) - prior R_p(-)) with the logistic loss; no example of a class: a constant score of prior."""
+def fit(positive: list[set[str]], unlabelled: list[set[str]], prior: float, steps: int = STEPS) -> Classifier:
+    """Minimise prior R_p(+) + max(0, R_u(-) - prior R_p(-)) with the logistic loss, on texts' features; no example of a class: a constant score of prior."""
     if not positive or not unlabelled:
         return Classifier({}, float(np.log(max(prior, 1e-6)) - np.log1p(-min(prior, 1 - 1e-6))))
     prior = min(max(prior, 1e-3), 0.95)
-    sets = [[features(t) for t in texts] for texts in (positive, unlabelled)]
+    sets = [positive, unlabelled]
     share: list[dict[str, float]] = []
     for group in sets:
         counts: dict[str, int] = {}
@@ -78,32 +78,34 @@ def fit(positive: list[bytes], unlabelled: list[bytes], prior: float, steps: int
 
 
 def train(docs: DataFrame, labels: DataFrame, learned, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> Classifier:
-    """Fit to at most POSITIVES toxic and UNLABELLED unlabelled texts of the rows that meet learned(name of the id column); the prior is the toxic share of all labelled ones."""
+    """Fit to at most POSITIVES toxic and UNLABELLED unlabelled texts of the rows that meet learned(name of the id column).
+
+    The prior is the toxic share of all labelled ones. Texts of any length are drawn and read as a whole: tasks find their words,
+    and the driver gets these sets. Without toxic labels, or without texts, the model is a constant.
+    """
+    common.prepare(docs.sparkSession)
     marks = labels.select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("toxic")).filter(F.col("toxic").isNotNull() & F.col("id").isNotNull())
     marks = marks.filter(learned("id"))
     n, toxic = marks.agg(F.count(F.lit(1)), F.coalesce(F.sum((F.col("toxic") == 1).cast("int")), F.lit(0))).first()
-    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).filter(learned("id") & F.col("text").isNotNull() & (F.length("text") <= LONGEST))
-    wanted = common.share_of(marks.filter("toxic = 1"), 1.5 * POSITIVES / max(1, toxic), 7, "id").select("id").distinct().limit(2 * POSITIVES)
-    positive = texts.join(F.broadcast(wanted), "id", "left_semi").select("text").collect()  # at most 2 x POSITIVES ids
-    total = docs.count()
-    drawn = common.share_of(texts, 1.5 * UNLABELLED / max(1, total), 13, "id", "text").select("text").collect()
-    pick = lambda rows, most: [t.encode() for t in sorted((r["text"] for r in rows), key=lambda t: (zlib.crc32(t.encode()), t))[:most]]
-    return fit(pick(positive, POSITIVES), pick(drawn, UNLABELLED), toxic / n if n else 0.0)
+    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).filter(learned("id") & F.col("text").isNotNull())
+    wanted = common.drawn(marks.filter("toxic = 1").distinct(), 1.5 * POSITIVES / max(1, toxic), POSITIVES, 7, "id").select("id")
+    positive = common.drawn(texts.join(F.broadcast(wanted), "id", "left_semi"), 1.0, POSITIVES, 11, "id", "text")  # at most POSITIVES ids
+    unlabelled = common.drawn(texts, 1.5 * UNLABELLED / max(1, docs.count()), UNLABELLED, 13, "id", "text")
+    sets = [[set(r["words"]) for r in df.select(words_of()("text").alias("w")).select("w.words").collect()] for df in (positive, unlabelled)]
+    return fit(*sets, toxic / n if n else 0.0)
 
 
-def scorer(model: Classifier):
-    """A UDF: text -> struct(score); null and empty texts have the score of a text without words."""
+def words_of():
+    """A UDF: text -> struct(words), the text's features."""
+    return common.text_udf(lambda: lambda texts: (pa.array([sorted(features(t)) for t in texts], pa.list_(pa.string())),), "words array<string>")
 
-    def start():
-        def run(texts: list[bytes | None]):
-            return (np.array([model.score(t) for t in texts], np.float64),)
 
-        return run
-
-    return common.text_udf(start, "score double")
+def scorer(model: Classifier):
+    """A UDF: text -> struct(score); null and empty texts have the score of a text without words."""
+    return common.text_udf(lambda: lambda texts: (model.scores(texts),), "score double")
 
 
 def score(docs: DataFrame, model: Classifier, text_col: str = "text", out: str = "toxicity") -> DataFrame:
-    """docs with a struct column ``out`` (score)."""
+    """docs with a struct column ``out`` (score), null and empty texts included. Equal texts score alike; an empty table gives one; other columns pass through."""
     common.prepare(docs.sparkSession)
     return docs.withColumn(out, scorer(model)(F.col(text_col)))

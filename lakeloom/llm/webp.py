@@ -1,13 +1,19 @@
 """Lossless WebP (VP8L) in numpy and plain Python: a decoder of the whole format and an encoder.
 
 The decoder reads prefix codes, back-references, the colour cache and meta prefix codes, and inverts the predictor,
-cross-colour, subtract-green and palette transforms. A stream whose codes all have eight bits and that uses none of
-the rest is decoded in one vectorized pass; the encoder's plain mode writes such streams. Its other modes write every
-feature of the format.
+cross-colour, subtract-green and palette transforms. The encoder writes every feature of the format, and chooses by size
+between a palette, back-references with a cache, and prefix codes alone. Streams of the last kind are decoded many at a
+time: each is cut into stretches of bits that are read side by side. A stretch is first entered at a guessed place. Prefix
+codes soon fall into step, so where one stretch ends tells where the next begins, and those that were entered wrongly are
+read again until all fit.
 """
 
 from __future__ import annotations
 
+import math
+from dataclasses import dataclass
+from functools import cache
+
 import numpy as np
 
 SIGNATURE = 0x2F
@@ -26,6 +32,16 @@ class Bits:
     def __init__(self, data: bytes, at: int = 0):
         self.data, self.at = data, at
 
+    def between(self, at: int, n: int) -> int:
+        """The n bits from a place on."""
+        return int.from_bytes(self.data[at >> 3 : (at + n + 7) >> 3], "little") >> (at & 7) & ((1 << n) - 1)
+
+    def peek(self, n: int) -> int:
+        return self.between(self.at, n)
+
+    def read_over(self, n: int) -> None:
+        self.at += n
+
     def read(self, n: int) -> int:
         first = self.at >> 3
         got = int.from_bytes(self.data[first : first + 8], "little") >> (self.at & 7)
@@ -50,19 +66,16 @@ class Out:
 
 
 class Code:
-    """A canonical prefix code, read bit by bit."""
+    """A canonical prefix code; read by a table of the bits that follow."""
 
     def __init__(self, lengths: list[int]):
         self.lengths = lengths
         used = [s for s, n in enumerate(lengths) if n]
-        self.only = used[0] if len(used) == 1 else None
-        self.table: dict[tuple[int, int], int] = {}
-        if self.only is None and used:
-            if sum(2.0 ** -lengths[s] for s in used) != 1.0:
-                raise ValueError("the prefix code is not complete")
-            self.table = {(lengths[s], c): s for s, c in self.codes().items()}
-        elif not used:
-            self.only = 0
+        self.only = used[0] if len(used) == 1 else None if used else 0
+        self.most = max(lengths) if self.only is None else 0
+        if self.only is None and sum(1 << (15 - lengths[s]) for s in used) != 1 << 15:
+            raise ValueError("the prefix code is not complete")
+        self._table: list[int] | None = None
 
     def codes(self) -> dict[int, int]:
         code, last, out = 0, 0, {}
@@ -72,16 +85,38 @@ class Code:
             code += 1
         return out
 
+    def table(self, bits: int) -> np.ndarray:
+        """For the next ``bits`` bits, the lowest first: symbol and length, as symbol << 4 | length."""
+        n = np.array(self.lengths)
+        order = np.lexsort((np.arange(len(n)), n))
+        order = order[n[order] > 0]
+        return np.repeat((order << 4 | n[order]).astype(np.uint16), 1 << (bits - n[order]))[_reversed(bits)]
+
     def read(self, bits: Bits) -> int:
         if self.only is not None:
             return self.only
-        code = n = 0
-        while True:
-            code, n = code << 1 | bits.read(1), n + 1
-            if (s := self.table.get((n, code))) is not None:
-                return s
-            if n > 15:
-                raise ValueError("not a code")
+        if self._table is None:
+            self._table = self.table(self.most).tolist()
+        first = bits.at >> 3
+        found = self._table[int.from_bytes(bits.data[first : first + 4], "little") >> (bits.at & 7) & ((1 << self.most) - 1)]
+        bits.at += found & 15
+        if bits.at > 8 * len(bits.data):
+            raise ValueError("the stream is too short")
+        return found >> 4
+
+
+@cache
+def _backwards(bits: int) -> list[int]:
+    return _reversed(bits).tolist()
+
+
+@cache
+def _reversed(bits: int) -> np.ndarray:
+    """All numbers of so many bits with their bits in the other order."""
+    out = np.zeros(1, np.int64)
+    for _ in range(bits):
+        out = np.concatenate([out << 1, out << 1 | 1])
+    return out
 
 
 def read_code(bits: Bits, size: int) -> Code:
@@ -121,8 +156,22 @@ def read_value(bits: Bits, prefix: int) -> int:
     return ((2 + (prefix & 1)) << extra) + bits.read(extra) + 1
 
 
-def read_pixels(bits: Bits, width: int, height: int, main: bool) -> np.ndarray:
-    """ARGB values (uint32) of an entropy-coded image, row by row."""
+@dataclass
+class Body:
+    """What precedes the pixels of an entropy-coded image: its cache, and its codes by block or one group of them."""
+
+    cache_bits: int
+    meta: list[int] | None
+    shift: int
+    codes: list[list[Code]]
+
+    def alike(self) -> bool:
+        """Pixels only, all four channels by one code of a few bits."""
+        first = self.codes[0][0]
+        return len(self.codes) == 1 and not self.cache_bits and first.only is None and first.most <= WINDOW and not any(first.lengths[GREENS:]) and all(c.lengths[:GREENS] == first.lengths[:GREENS] for c in self.codes[0][1:4])
+
+
+def read_body(bits: Bits, width: int, height: int, main: bool) -> Body:
     cache_bits = bits.read(4) if bits.read(1) else 0
     if cache_bits and not 1 <= cache_bits <= 11:
         raise ValueError("no such colour cache")
@@ -133,10 +182,33 @@ def read_pixels(bits: Bits, width: int, height: int, main: bool) -> np.ndarray:
         meta = (read_pixels(bits, (width + (1 << shift) - 1) >> shift, (height + (1 << shift) - 1) >> shift, False) >> 8 & 0xFFFF).tolist()
         groups = max(meta) + 1
     sizes = (GREENS + LENGTHS + (1 << cache_bits if cache_bits else 0), 256, 256, 256, DISTANCES)
-    codes = [[read_code(bits, n) for n in sizes] for _ in range(groups)]
+    return Body(cache_bits, meta, shift, [_group(bits, sizes) for _ in range(groups)])
+
+
+def _group(bits: Bits, sizes: tuple[int, ...]) -> list[Code]:
+    """Five codes; one that is written like the code before it, bit by bit, isn't taken apart again."""
+    out: list[Code] = []
+    written, n = -1, 0
+    for size in sizes:
+        if out and size < DISTANCES + 256 and size > DISTANCES and not any(out[-1].lengths[size:]) and bits.peek(n) == written:
+            bits.read_over(n)
+            out.append(out[-1] if len(out[-1].lengths) == size else Code(out[-1].lengths[:size]))
+            continue
+        start = bits.at
+        out.append(read_code(bits, size))
+        n = bits.at - start
+        written = bits.between(start, n)
+    return out
+
+
+def read_pixels(bits: Bits, width: int, height: int, main: bool) -> np.ndarray:
+    """ARGB values (uint32) of an entropy-coded image, row by row."""
+    return read_rest(bits, width, height, read_body(bits, width, height, main))
+
+
+def read_rest(bits: Bits, width: int, height: int, body: Body) -> np.ndarray:
+    cache_bits, meta, shift, codes = body.cache_bits, body.meta, body.shift, body.codes
     total = width * height
-    if groups == 1 and not cache_bits and _flat(codes[0]):
-        return _flat_pixels(bits, total)
     out, at = [0] * total, 0
     cache = [0] * (1 << cache_bits)
     across = (width + (1 << shift) - 1) >> shift
@@ -174,26 +246,6 @@ def read_pixels(bits: Bits, width: int, height: int, main: bool) -> np.ndarray:
     return np.array(out, np.uint32)
 
 
-def _flat(codes: list[Code]) -> bool:
-    return all(c.lengths[:256] == [8] * 256 and not any(c.lengths[256:]) for c in codes[:4])
-
-
-_REVERSED = np.array([int(f"{i:08b}"[::-1], 2) for i in range(256)], np.uint8)
-
-
-def _flat_pixels(bits: Bits, total: int) -> np.ndarray:
-    """Pixels of four 8-bit codes each: a shift of the stream and a reversal of each byte's bits."""
-    first, shift = bits.at >> 3, bits.at & 7
-    raw = np.frombuffer(bits.data, np.uint8, min(len(bits.data) - first, 4 * total + 1), first)
-    if shift:
-        raw = (raw[:-1] >> shift) | (raw[1:] << (8 - shift))
-    if len(raw) < 4 * total:
-        raise ValueError("the stream is too short")
-    bits.at += 32 * total
-    g, r, b, a = _REVERSED[raw[: 4 * total]].reshape(-1, 4).T.astype(np.uint32)
-    return a << 24 | r << 16 | g << 8 | b
-
-
 def _channels(argb: np.ndarray) -> np.ndarray:
     return argb.astype("<u4").view(np.uint8).reshape(*argb.shape, 4)
 
@@ -289,8 +341,37 @@ def _pack_bits(colours: int) -> int:
     return 3 if colours <= 2 else 2 if colours <= 4 else 1 if colours <= 16 else 0
 
 
-def decode(data: bytes) -> np.ndarray:
-    """Pixels (height, width, 4: blue, green, red, alpha) of a WebP file or a bare VP8L stream."""
+@dataclass
+class Opened:
+    """An image before its pixels are read."""
+
+    bits: Bits
+    width: int
+    height: int
+    inner: int
+    transforms: list[tuple]
+    body: Body
+
+    def finished(self, argb: np.ndarray) -> np.ndarray:
+        """Pixels from the coded values: the transforms inverted, the last one first."""
+        for t in reversed(self.transforms):
+            if t[0] == PREDICTOR:
+                argb = _predicted(argb, t[1], self.height, t[2], t[3], True)
+            elif t[0] == CROSS:
+                argb = _cross(argb, t[1], self.height, t[2], t[3], True)
+            elif t[0] == SUBTRACT:
+                argb = _green(argb, 1)
+            else:
+                index = argb >> 8 & 255
+                if t[2]:
+                    n = 8 >> t[2]
+                    parts = index.reshape(self.height, -1)[:, :, None] >> (np.arange(1 << t[2]) * n) & ((1 << n) - 1)
+                    index = parts.reshape(self.height, -1)[:, : t[1]].reshape(-1)
+                argb = np.concatenate([t[3], np.zeros(256, np.uint32)])[index]
+        return _channels(argb).reshape(self.height, self.width, 4)
+
+
+def opened(data: bytes) -> Opened:
     if data[:4] == b"RIFF":
         if data[8:12] != b"WEBP" or data[12:16] != b"VP8L":
             raise ValueError("no lossless WebP file")
@@ -318,22 +399,86 @@ def decode(data: bytes) -> np.ndarray:
             inner = (inner + (1 << _pack_bits(n)) - 1) >> _pack_bits(n)
         else:
             transforms.append((kind, inner))
-    argb = read_pixels(bits, inner, height, True)
-    for t in reversed(transforms):
-        if t[0] == PREDICTOR:
-            argb = _predicted(argb, t[1], height, t[2], t[3], True)
-        elif t[0] == CROSS:
-            argb = _cross(argb, t[1], height, t[2], t[3], True)
-        elif t[0] == SUBTRACT:
-            argb = _green(argb, 1)
-        else:
-            index = argb >> 8 & 255
-            if t[2]:
-                n = 8 >> t[2]
-                parts = index.reshape(height, -1)[:, :, None] >> (np.arange(1 << t[2]) * n) & ((1 << n) - 1)
-                index = parts.reshape(height, -1)[:, : t[1]].reshape(-1)
-            argb = np.concatenate([t[3], np.zeros(256, np.uint32)])[index]
-    return _channels(argb).reshape(height, width, 4)
+    return Opened(bits, width, height, inner, transforms, read_body(bits, inner, height, True))
+
+
+def decode(data: bytes) -> np.ndarray:
+    """Pixels (height, width, 4: blue, green, red, alpha) of a WebP file or a bare VP8L stream, read one symbol after the other."""
+    o = opened(data)
+    return o.finished(read_rest(o.bits, o.inner, o.height, o.body))
+
+
+#: Bits of the table by which stretches are read, bits of a stretch, steps after which finished stretches are put aside.
+WINDOW, STRETCH, STEPS = 12, 1020, 32
+
+
+def decode_many(files: list[bytes]) -> list[np.ndarray]:
+    """The same pixels as decode(), for many files: streams of one plain code are read side by side."""
+    images = [opened(f) for f in files]
+    side = [i for i, o in enumerate(images) if o.body.alike()]
+    found: dict[int, np.ndarray] = {}
+    if side:
+        streams = [(images[i].bits.data, images[i].bits.at, 4 * images[i].inner * images[i].height, images[i].body.codes[0][0]) for i in side]
+        for i, symbols in zip(side, read_side_by_side(streams), strict=True):
+            found[i] = _channels_to_argb(symbols)
+    return [o.finished(found[i] if i in found else read_rest(o.bits, o.inner, o.height, o.body)) for i, o in enumerate(images)]
+
+
+def _channels_to_argb(symbols: np.ndarray) -> np.ndarray:
+    """Green, red, blue, alpha as they are written, to values."""
+    return np.ascontiguousarray(symbols.reshape(-1, 4)[:, [2, 0, 1, 3]]).view("<u4").reshape(-1).astype(np.uint32)
+
+
+def read_side_by_side(streams: list[tuple[bytes, int, int, Code]]) -> list[np.ndarray]:
+    """The first symbols of streams (data, first bit, how many symbols, code)."""
+    sizes = np.array([len(d) for d, *_ in streams], np.int64)
+    base = (np.cumsum(sizes) - sizes) * 8
+    raw = np.frombuffer(b"".join(d for d, *_ in streams) + bytes(8), np.uint8).astype(np.uint32)
+    window = raw[:-2] | raw[1:-1] << 8 | raw[2:] << 16
+    tables = np.concatenate([c.table(WINDOW) for *_, c in streams])
+    first, end = base + np.array([at for _, at, *_ in streams]), base + sizes * 8
+    # Codes whose lengths have a common divisor never fall into step from another remainder, so stretches keep it.
+    divisor = np.array([math.gcd(*(n for n in c.lengths if n)) for *_, c in streams])
+    stretch = STRETCH // divisor * divisor
+    count = np.maximum(1, -(-(end - first) // stretch))
+    owner = np.repeat(np.arange(len(streams)), count)
+    number = np.arange(len(owner)) - np.repeat(np.cumsum(count) - count, count)
+    entry = first[owner] + number * stretch[owner]
+    stop = np.minimum(entry + stretch[owner], end[owner])
+    out, got, leave = np.zeros((len(owner), STEPS), np.uint8), np.zeros(len(owner), np.int64), entry.copy()
+    due = np.arange(len(owner))
+    while len(due):
+        at, alive, t = entry[due], due, 0
+        got[due], leave[due] = 0, at
+        while len(alive):
+            if t + STEPS > out.shape[1]:
+                out = np.concatenate([out, np.zeros_like(out)], axis=1)
+            block = np.zeros((STEPS, len(alive)), np.uint8)
+            steps, until, row = np.zeros(len(alive), np.int64), stop[alive], owner[alive] << WINDOW
+            for k in range(STEPS):
+                e = tables[row + (window[at >> 3] >> (at & 7).astype(np.uint32) & ((1 << WINDOW) - 1))]
+                block[k] = e >> 4
+                on = at < until
+                at = at + (e & 15) * on
+                steps += on
+            out[alive, t : t + STEPS] = block.T
+            got[alive] += steps
+            leave[alive] = at
+            on = at < until
+            at, alive, t = at[on], alive[on], t + STEPS
+        true = np.concatenate([[0], leave[:-1]])
+        true[number == 0] = first
+        due = np.flatnonzero((true != entry) & (entry < end[owner]))
+        entry[due] = true[due]
+    total = np.bincount(owner, got, len(streams)).astype(np.int64)
+    flat = out[:, : max(1, int(got.max()))][np.arange(max(1, int(got.max())))[None, :] < got[:, None]]
+    starts = np.cumsum(total) - total
+    result = []
+    for (_, _, n, _), a, have in zip(streams, starts.tolist(), total.tolist(), strict=True):
+        if have < n:
+            raise ValueError("the stream is too short")
+        result.append(flat[a : a + n])
+    return result
 
 
 def _lengths(counts: list[int], most: int = 15) -> list[int]:
@@ -398,7 +543,12 @@ def _symbols(lengths: list[int]) -> dict[int, tuple[int, int]]:
     used = [s for s, n in enumerate(lengths) if n]
     if len(used) == 1:
         return {used[0]: (0, 0)}
-    return {s: (int(f"{c:0{lengths[s]}b}"[::-1], 2), lengths[s]) for s, c in Code(lengths).codes().items()}
+    out, code, last = {}, 0, 0
+    for n, s in sorted((lengths[s], s) for s in used):
+        code <<= n - last
+        out[s], last = (_backwards(n)[code], n), n
+        code += 1
+    return out
 
 
 def _value_prefix(v: int) -> tuple[int, int, int]:
@@ -519,36 +669,88 @@ def encode(pixels: np.ndarray, palette: bool = False, subtract: bool = False, cr
     return _riff(out.bytes())
 
 
-_PLAIN: list[tuple[int, int]] = []
-
-
-def _plain_codes() -> tuple[int, int]:
-    """The bits, and their number, between the image's size and its pixels in plain mode."""
-    if not _PLAIN:
-        out = Out()
-        for v, n in ((0, 1), (0, 1), (0, 1)):  # no transform, no cache, one group of codes
-            out.write(v, n)
-        for _ in range(4):
-            _write_code(out, [8] * 256 + [0] * (LENGTHS if _ == 0 else 0))
-        _write_code(out, [0] * DISTANCES)
-        _PLAIN.append((out.value, out.n))
-    return _PLAIN[0]
+def _code_bits(lengths: list[int]) -> tuple[int, int]:
+    """A code of three symbols or more as it is written, with runs of zeros: (bits, their number)."""
+    end = max(s for s, n in enumerate(lengths) if n) + 1
+    words: list[tuple[int, int, int]] = []  # symbol, extra bits, their number
+    at = 0
+    while at < end:
+        run = 0
+        while at + run < end and lengths[at + run] == 0 and run < 138:
+            run += 1
+        if run >= 3:
+            words.append((18, run - 11, 7) if run >= 11 else (17, run - 3, 3))
+            at += run
+        else:
+            words.append((lengths[at], 0, 0))
+            at += 1
+    counts = [0] * 19
+    for w, _, _ in words:
+        counts[w] += 1
+    if sum(c > 0 for c in counts) == 1:
+        counts[0 if not counts[0] else 1] = 1
+    own = _lengths(counts, 7)
+    value, n = 0, 1  # a first bit of zero: not one of the short forms
+    last = max(i for i, s in enumerate(LENGTH_ORDER) if own[s]) + 1
+    last = max(4, last)
+    value |= (last - 4) << n
+    n += 4
+    for s in LENGTH_ORDER[:last]:
+        value |= own[s] << n
+        n += 3
+    value |= 1 << n
+    n += 1
+    width = max(2, (len(words) - 2).bit_length() + (len(words) - 2).bit_length() % 2)
+    value |= (width - 2) // 2 << n
+    n += 3
+    value |= (len(words) - 2) << n
+    n += width
+    codes = _symbols(own)
+    for w, extra, k in words:
+        c, m = codes[w]
+        value |= c << n
+        n += m
+        value |= extra << n
+        n += k
+    return value, n
 
 
-def encode_plain(pixels: np.ndarray) -> bytes:
-    """A WebP file with 8-bit codes only, made in one vectorized pass."""
+def encode_fitted(pixels: np.ndarray) -> bytes:
+    """A WebP file of pixels alone, all four channels by one prefix code that fits their bytes."""
     height, width = pixels.shape[:2]
+    flat = np.ascontiguousarray(np.asarray(pixels, np.uint8).reshape(-1, 4)[:, [1, 2, 0, 3]]).reshape(-1)
+    counts = np.bincount(flat, minlength=256)
+    if np.count_nonzero(counts) < 3:
+        return encode(pixels)
+    lengths = _lengths(counts.tolist(), WINDOW)
+    written, size = _code_bits(lengths)
     out = _head(width, height)
-    out.write(*_plain_codes())
-    first, shift = out.n >> 3, out.n & 7
-    head = np.frombuffer(out.value.to_bytes(first + 1, "little"), np.uint8)
-    body = _REVERSED[np.asarray(pixels, np.uint8).reshape(-1, 4)[:, [1, 2, 0, 3]].reshape(-1)]
-    stream = np.zeros(first + 1 + len(body), np.uint8)
-    stream[: first + 1] = head
-    if shift:
-        stream[first : first + len(body)] |= body << shift
-        stream[first + 1 :] |= body >> (8 - shift)
-    else:
-        stream[first:-1] = body
-        stream = stream[:-1]
-    return _riff(stream.tobytes())
+    out.write(0, 3)  # no transform, no cache, one group of codes
+    for _ in range(4):
+        out.write(written, size)
+    _write_code(out, [0] * DISTANCES)
+    codes = _symbols(lengths)
+    value, length = np.zeros(256, np.uint32), np.zeros(256, np.int64)
+    value[list(codes)], length[list(codes)] = [c for c, _ in codes.values()], [n for _, n in codes.values()]
+    took = length[flat]
+    at = out.n + np.cumsum(took) - took
+    size = (int(out.n + took.sum()) + 7) // 8 + 3
+    shifted = value[flat] << (at & 7).astype(np.uint32)  # 12 + 7 bits at most
+    stream = sum(np.bincount((at >> 3) + k, shifted >> (8 * k) & 255, size) for k in range(3)).astype(np.uint8)
+    head = out.bytes()
+    stream[: len(head)] |= np.frombuffer(head, np.uint8)
+    return _riff(stream[:-3].tobytes())
+
+
+def encode_best(pixels: np.ndarray) -> bytes:
+    """The smallest of the forms that can pay: prefix codes alone; a palette where few colours make it; back-references and a cache where much repeats."""
+    argb = np.ascontiguousarray(pixels, np.uint8).reshape(-1, 4).view("<u4").reshape(-1)
+    forms = [encode_fitted(pixels)]
+    colours = len(np.unique(argb))
+    if colours <= 256 and 3 * colours + len(argb) * math.log2(max(2, colours)) / 8 < len(forms[0]):
+        forms.append(encode(pixels, palette=True))
+    if len(argb) >= 16 and 2 * colours < len(argb):
+        a, b = (argb[i : i + len(argb) - 3].astype(np.uint64) << np.uint64(32) | argb[i + 1 : i + len(argb) - 2] for i in (0, 2))
+        if 4 * len(np.unique(a * np.uint64(0x9E3779B97F4A7C15) ^ b)) < len(a):
+            forms.append(encode(pixels, references=True, cache_bits=4))
+    return min(forms, key=len)

@@ -28,6 +28,12 @@ def brute(text, items, window=10):
     return len(words), len(hit), len(found), hashlib.sha256(",".join(sorted(found)).encode()).hexdigest(), bool(hit)
 
 
+def test_many_copies_of_an_item_cost_one():
+    m = decontam.Automaton([(str(k), [b"fox", b"den"]) for k in range(3)] + [("0", [b"fox", b"den"])] * 20_000, 10)
+    spans, found = m.search([b"fox", b"den"] * 2000)
+    assert len(spans) == 2000 and sorted(m.names[k] for k in found) == ["0", "1", "2"]
+
+
 def test_random_words_equal_brute_force():
     rng = random.Random(1)
     for _ in range(150):

@@ -105,7 +105,7 @@ def test_webp_features_round_trip():
     for image in (noise, few, many, flat, tile, noise[:1, :1]):
         for o in options:
             assert np.array_equal(webp.decode(webp.encode(image, **o)), image), o
-        assert np.array_equal(webp.decode(webp.encode_plain(image)), image)
+        assert all(np.array_equal(webp.decode(f(image)), image) for f in (webp.encode_fitted, webp.encode_best))
     for image in (few, many, flat, few[:, :3]):
         for o in ({"palette": True}, {"palette": True, "references": True}, {"palette": True, "predictor": 0, "cache_bits": 2}):
             assert np.array_equal(webp.decode(webp.encode(image, **o)), image), o
@@ -114,14 +114,21 @@ def test_webp_features_round_trip():
     assert len(webp.NEAR) == 120 and webp.NEAR[:6] == [(0, 1), (1, 0), (1, 1), (-1, 1), (0, 2), (2, 0)] and webp.NEAR[-1] == (8, 7)
 
 
-def test_plain_stream_is_read_alike_by_the_general_reader(monkeypatch):
-    image = np.random.default_rng(2).integers(0, 256, (5, 16, 4), np.uint8)
-    data = webp.encode_plain(image)
-    monkeypatch.setattr(webp, "_flat", lambda codes: False)
-    assert np.array_equal(webp.decode(data), image)
-    for bad in (data[:-9], b"RIFFxxxxWEBPVP8 ", b"\x00abc"):
-        with pytest.raises(ValueError):
-            webp.decode(bad)
+def test_files_are_read_side_by_side_as_one_by_one():
+    rng = np.random.default_rng(2)
+    texts = [b"", b"a", b"ab", "été 東京 🎉 ".encode() * 700, b"word " * 9000, bytes(rng.integers(0, 256, 20_000, np.uint8)), bytes(rng.integers(97, 105, 30_000, np.uint8)), bytes(rng.integers(97, 101, 9_000, np.uint8)), bytes(rng.choice([97, 98, 99], 50_000, p=[0.9, 0.05, 0.05]).astype(np.uint8))]
+    texts += [" ".join(f"w{x}" for x in rng.zipf(1.3, n) % 5000).encode() for n in (3, 30, 300, 9000)]
+    payloads = [media.payload(t) for t in texts]
+    stored = [media.to_media(p) for p in payloads]
+    together = [b"".join(p.tobytes() for p in pixels) for pixels in media.images(stored)]
+    assert together == payloads == [b"".join(webp.decode(f).tobytes() for f in media.files(m)) for m in stored]
+    assert any(webp.opened(m).body.alike() for m in stored) and any(webp.opened(m).transforms for m in stored) and any(webp.opened(m).body.cache_bits for m in stored)
+    assert all(len(m) < len(p) for m, p in zip(stored, payloads, strict=True) if len(p) > 1000 and len(set(p)) < 250)
+    data = stored[-1]
+    for bad in (data[:-99], b"RIFFxxxxWEBPVP8 ", b"\x00abc"):
+        for read in (webp.decode, lambda f: webp.decode_many([stored[-2], f])):
+            with pytest.raises(ValueError):
+                read(bad)
 
 
 def test_media_round_trip(spark, sf, odd_docs, no_docs):
@@ -136,7 +143,7 @@ def test_media_round_trip(spark, sf, odd_docs, no_docs):
         assert len({(r["payload_sha256"], r["media_sha256"], r["feature"], r["media_bytes"]) for r in rows}) == len({r["payload_sha256"] for r in rows})
     assert media.describe(no_docs).count() == 0
     big = media.payload(b"ab" * 1_500_000)
-    assert b"".join(p.tobytes() for p in media.images(media.to_media(big))) == big
+    assert b"".join(p.tobytes() for p in media.images([media.to_media(big)])[0]) == big
 
 
 def test_url_rules_and_list(spark):

@@ -64,6 +64,44 @@ def test_language_of_odd_rows(spark, odd_docs, no_docs):
     assert {r["lang_pred"] for r in langid.identify(odd_docs, None, out="f").select("f.lang_pred").collect()} == {"und"}
 
 
+def test_pooled_probabilities_equal_a_plain_loop():
+    net = langid.Network.fresh(["a", "b", "c"])
+    p = {k: v.astype(np.float64) for k, v in net.parts.items()}
+    texts = [b"hello", bytes(range(256)) * 3 + b"tail", b"x"]
+
+    def run(seg, way):
+        h, out = np.zeros(langid.HIDDEN), []
+        for b in seg if way == "f" else seg[::-1]:
+            s = p["x" + way][b] + h @ p["u" + way]
+            z = 1 / (1 + np.exp(-s[: langid.HIDDEN]))
+            h = h + z * (np.tanh(s[langid.HIDDEN :]) - h)
+            out.append(h)
+        return out if way == "f" else out[::-1]
+
+    want = []
+    for t in texts:
+        probs = []
+        for i in range(0, len(t), langid.SEGMENT):
+            for f, b in zip(run(t[i : i + langid.SEGMENT], "f"), run(t[i : i + langid.SEGMENT], "b"), strict=True):
+                e = np.exp(np.concatenate([f, b]) @ p["w"] + p["b"])
+                probs.append(e / e.sum())
+        want.append(np.mean(probs, axis=0))
+    assert np.allclose(net.pooled(texts), want, atol=1e-5)
+
+
+def test_long_texts_are_read_in_portions(monkeypatch):
+    net, texts = langid.Network.fresh(["a", "b"]), [b"abc" * 900, b"", b"z" * 3000, b"q"]
+    whole = net.pooled(texts)
+    monkeypatch.setattr(langid, "AT_ONCE", 512)
+    assert np.allclose(net.pooled(texts), whole, atol=1e-6)
+
+
+def test_every_language_is_sampled_and_repeats_count_once(spark):
+    rows = [(n, f"text number {n}", f"l{n % 150}") for n in range(600)] + [(9999, "the same", "l0")] * 500
+    got = langid.sample(spark.createDataFrame(rows, "doc_id bigint, text string, lang string"), "doc_id", "text", "lang", 400)
+    assert len({lang for _, lang in got}) == 150 and sum(t == b"the same" for t, _ in got) <= 1
+
+
 def test_attention_gradient_is_that_of_the_loss():
     pieces = np.random.default_rng(1).integers(0, 50, 300)
     model = lm.Model(pieces)
@@ -96,6 +134,33 @@ def test_each_subword_is_scored_once_and_probabilities_sum_to_one():
     assert np.allclose(a[:3], b[:3], rtol=1e-5)
 
 
+def test_log_probabilities_equal_a_plain_loop():
+    model = lm.Model(np.random.default_rng(1).integers(0, 50, 300))
+    p = {k: v.astype(np.float64) for k, v in model.parts.items()}
+    texts = [np.arange(37) * 7 % 300, np.array([5, 5, 7]), np.zeros(0, int)]
+    want = []
+    for ids in texts:
+        inputs, targets = [model.end, *ids], [*ids, model.end]
+        e = p["e"][model.symbol[np.array(inputs)]]
+        for i, target in enumerate(targets):
+            first = max(0, i // lm.STRIDE * lm.STRIDE - lm.STRIDE)  # the window: its own row and the one before
+            a = np.array([e[i] @ p["q"] @ (e[j] @ p["k"]) / math.sqrt(lm.WIDTH) + p["near"][i - j] for j in range(first, i + 1)])
+            a = np.exp(a - a.max())
+            o = (a / a.sum()) @ (e[first : i + 1] @ p["v"])
+            g = np.tanh(np.concatenate([e[i], o]) @ p["w1"] + p["b1"]) @ p["w2"] + p["b2"]
+            classes = g - np.log(np.exp(g).sum())
+            want.append(classes[model.cls[target]] + model.within[target])
+    assert np.allclose(model.log_probabilities(texts), want, rtol=1e-3, atol=1e-3)
+
+
+def test_hot_words_are_found_where_all_are_frequent(spark, monkeypatch):
+    monkeypatch.setattr(lm, "HOT_WORDS", 3)
+    monkeypatch.setattr(lm, "EXACT", 2)
+    words = [w for k, w in enumerate("abcdefgh") for _ in range(2 ** (k + 2))]
+    counts = lm.gather(spark.createDataFrame([(" ".join(words),)], "text string"), queries.tokenizer_path())
+    assert set(counts.hot) == {b"f", b"g", b"h"} and counts.hot[b"h"] == 512
+
+
 def brute_base(rows, learned):
     counts, words = Counter(), {}
     for d, t in rows:
@@ -143,9 +208,25 @@ def test_toxicity_of_held_out_labels(spark, small, sf, docs):
 def test_non_negative_risk_learns_from_unlabelled():
     rng = np.random.default_rng(2)
     text = lambda bad: " ".join([*rng.choice(["alpha", "beta", "gamma", "delta"], 6), *(["scoundrel"] if bad else [])]).encode()
-    model = toxicity.fit([text(True) for _ in range(200)], [text(i % 10 == 0) for i in range(2000)], 0.1)
-    assert model.score(text(True)) > 0.7 > 0.3 > model.score(text(False))
-    assert toxicity.fit([], [b"a"], 0.2).score(b"anything") == pytest.approx(0.2)
+    seen = lambda bad: toxicity.features(text(bad))
+    model = toxicity.fit([seen(True) for _ in range(200)], [seen(i % 10 == 0) for i in range(2000)], 0.1)
+    texts = [text(True), text(False), None, b"", b"Scoundrel, SCOUNDREL!"]
+    got = model.scores(texts)
+    assert got[0] > 0.7 > 0.3 > got[1]
+    for t, score in zip(texts, got, strict=True):
+        words = set(re.findall("[a-z]+", (t or b"").decode().lower()))
+        marks = words | {w[:n] + "-" for w in words for n in (4, 5) if len(w) > n}
+        assert score == pytest.approx(1 / (1 + math.exp(-model.bias - sum(model.weights.get(f, 0) for f in marks))))
+    assert toxicity.fit([], [{"a"}], 0.2).scores([b"anything"])[0] == pytest.approx(0.2)
+
+
+def test_long_texts_teach_toxicity(spark):
+    rng = np.random.default_rng(4)
+    long = lambda bad: " ".join([*rng.choice([f"word{i}" for i in range(300)], 2000), *(["scoundrel"] if bad else [])])
+    rows = [(i, long(i % 4 == 0)) for i in range(400)]
+    labels = spark.createDataFrame([(i, int(i % 4 == 0)) for i in range(0, 400, 2)], "doc_id bigint, toxic int")
+    model = toxicity.train(spark.createDataFrame(rows, "doc_id bigint, text string"), labels, lambda c: common.crc_mod(c, 3) < 9)
+    assert model.weights["scoundrel"] > 0.5
 
 
 def test_toxicity_odd_rows(spark, odd_docs, no_docs):
