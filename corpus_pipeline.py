@@ -12,10 +12,18 @@ from pyspark.sql import functions as F
 from lakeloom.llm import common, decontam, langid, mixing, nearcopies, queries, tokens
 
 
+#: The least mean probability of a document's language; see the README for what it rejects.
+LEAST_SCORE = 0.35
+
+
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose language is determined; a text that is null or without a letter goes."""
+    """Documents whose language is determined: a text that is null or without a letter goes, and one whose best language has a mean probability under LEAST_SCORE. Where no row has a language to learn from, all documents stay."""
     net = langid.train(docs.filter(common.crc_mod("doc_id", 5) != 0))
-    return langid.identify(docs, net, out="__language").filter(F.col("__language.lang_pred") != langid.UNDETERMINED).drop("__language")
+    if net is None:
+        return docs
+    found = common.fresh("language_found", docs)
+    known = (F.col(found)["lang_pred"] != langid.UNDETERMINED) & (F.col(found)["score"] >= LEAST_SCORE)
+    return langid.identify(docs, net, out=found).filter(known).drop(found)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
