@@ -5,9 +5,10 @@ from __future__ import annotations
 import json
 import threading
 import time
+from collections import deque
 from collections.abc import Callable, Iterable, Iterator, Sequence
 from concurrent.futures import ThreadPoolExecutor
-from itertools import groupby
+from itertools import groupby, islice
 from pathlib import Path
 from typing import Any, Protocol
 
@@ -87,10 +88,12 @@ def complete_as(client: Client, request: dict[str, Any], check: Callable[[dict[s
         raise InvalidOutput(str(e)) from e
 
 
-def run_batches(rows: Iterable[dict[str, Any]], batch: str, order: str, ask: Callable[[list[dict[str, Any]]], dict[str, Any]], answer: Callable[[dict[str, Any], list[dict[str, Any]]], Iterable[dict[str, Any]]], client: Client, concurrency: int = 4, limiter: TokenBucket | None = None) -> Iterator[dict[str, Any]]:
-    """Rows by batch, sorted, with a bounded number of calls at a time; answers come in the order of the batches."""
-    ordered = sorted(rows, key=lambda r: (r[batch], r[order]))
-    groups = [list(g) for _, g in groupby(ordered, key=lambda r: r[batch])]
+Ask = Callable[[list[dict[str, Any]]], dict[str, Any]]
+Answer = Callable[[dict[str, Any], list[dict[str, Any]]], Iterable[dict[str, Any]]]
+
+
+def run_sorted(rows: Iterable[dict[str, Any]], batch: str, ask: Ask, answer: Answer, client: Client, concurrency: int = 4, limiter: TokenBucket | None = None) -> Iterator[dict[str, Any]]:
+    """Answers for rows that are sorted by batch, in their order. At most 2 x concurrency batches are held."""
 
     def call(group: list[dict[str, Any]]) -> list[dict[str, Any]]:
         if limiter:
@@ -98,22 +101,35 @@ def run_batches(rows: Iterable[dict[str, Any]], batch: str, order: str, ask: Cal
         return list(answer(client.complete(ask(group)), group))
 
     with ThreadPoolExecutor(concurrency) as pool:
-        for out in pool.map(call, groups):
-            yield from out
+        due: deque = deque()
+        for _, group in groupby(rows, key=lambda r: r[batch]):
+            due.append(pool.submit(call, list(group)))
+            if len(due) == 2 * concurrency:
+                yield from due.popleft().result()
+        while due:
+            yield from due.popleft().result()
+
 
+def run_batches(rows: Iterable[dict[str, Any]], batch: str, order: str, ask: Ask, answer: Answer, client: Client, concurrency: int = 4, limiter: TokenBucket | None = None) -> Iterator[dict[str, Any]]:
+    """The same for rows in any order, which are sorted first."""
+    return run_sorted(sorted(rows, key=lambda r: (r[batch], r[order])), batch, ask, answer, client, concurrency, limiter)
 
-def infer(df: DataFrame, batch: str, order: str, ask, answer, client_factory: Callable[[], Client], schema: str, partitions: int = 2, concurrency: int = 2, per_second: float = 0.0) -> DataFrame:
-    """run_batches in each partition; a batch is never split. The whole rate is shared out between the partitions."""
+
+def infer(df: DataFrame, batch: str, order: str, ask: Ask, answer: Answer, client_factory: Callable[[], Client], schema: str, partitions: int | None = None, concurrency: int = 2, per_second: float = 0.0) -> DataFrame:
+    """run_sorted in each partition; a batch is never split, and a task holds a few batches only.
+
+    Rows go to the session's number of partitions, or to a given one. A rate is shared out between them.
+    """
+    spread = int(partitions or df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        client = client_factory()
-        limiter = TokenBucket(per_second / partitions) if per_second else None
-        rows = [r for f in frames for r in f.to_dict("records")]
-        out = list(run_batches(rows, batch, order, ask, answer, client, concurrency, limiter))
-        if out:
-            yield pd.DataFrame(out)
-
-    return df.repartition(partitions, batch).mapInPandas(run, schema)
+        limiter = TokenBucket(per_second / spread) if per_second else None
+        rows = (r for f in frames for r in f.to_dict("records"))
+        out = run_sorted(rows, batch, ask, answer, client_factory(), concurrency, limiter)
+        while some := list(islice(out, 1000)):
+            yield pd.DataFrame(some)
+
+    return df.repartition(spread, batch).sortWithinPartitions(batch, order).mapInPandas(run, schema)
 
 
 def aligned(n: int, answers: Iterable[dict[str, Any]], labels: Sequence[str], index: str = "i", label: str = "label") -> list[str | None]:

@@ -74,17 +74,33 @@ def as_of_join(facts: DataFrame, history: DataFrame, keys: Sequence[str], moment
     return joined
 
 
-def as_of_latest(facts: DataFrame, changes: DataFrame, keys: Sequence[str], moment: str, changed_at: str, value: str) -> DataFrame:
+def as_of_latest(facts: DataFrame, changes: DataFrame, keys: Sequence[str], moment: str, changed_at: str, value: str, split_seconds: int | None = None) -> DataFrame:
     """The last change at or before each fact's moment, without intervals: facts and changes are merged in one sorted pass by key.
 
-    A union and a running last value replace the join of each fact with all earlier changes of its key.
+    A union and a running last value replace the join of each fact with all earlier changes of its key. split_seconds: a key's
+    rows are sorted in stretches of this length, and the last change of each is carried to those after it, so that no task
+    gets all rows of a hot key.
     """
     f = facts.withColumn("__at", F.col(moment)).withColumn("__fact", F.lit(1)).withColumn(value, F.lit(None).cast(changes.schema[value].dataType))
     c = changes.select(*keys, value, F.col(changed_at).alias("__at"), F.lit(0).alias("__fact"))
     both = f.unionByName(c, allowMissingColumns=True)
-    order = Window.partitionBy(*keys).orderBy("__at", "__fact").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    seen = F.last(F.when(F.col("__fact") == 0, F.struct(F.col(value).alias("v"))), ignorenulls=True).over(order)["v"]
-    return both.withColumn(value, seen).filter("__fact = 1").select(*facts.columns, value)
+    change = F.when(F.col("__fact") == 0, F.struct(F.col(value).alias("v")))
+    parts = [*keys, "__part"] if split_seconds else list(keys)
+    if split_seconds:
+        both = both.withColumn("__part", F.floor(F.unix_timestamp("__at") / split_seconds))
+    order = Window.partitionBy(*parts).orderBy("__at", "__fact").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    seen = F.last(change, ignorenulls=True).over(order)
+    if split_seconds:
+        names = {p: f"__k{i}" for i, p in enumerate(parts)}
+        last = both.groupBy(*[F.col(p).alias(n) for p, n in names.items()]).agg(F.max_by(change, F.when(F.col("__fact") == 0, F.col("__at"))).alias("__carried"))
+        over = Window.partitionBy(*[names[k] for k in keys]).orderBy(names["__part"]).rowsBetween(Window.unboundedPreceding, -1)  # one row a stretch
+        last = last.withColumn("__carried", F.last("__carried", ignorenulls=True).over(over))
+        on = F.lit(True)
+        for p, n in names.items():
+            on = on & F.col(p).eqNullSafe(F.col(n))
+        both = both.withColumn("__seen", seen).filter("__fact = 1").join(last, on)
+        return both.withColumn(value, F.coalesce("__seen", "__carried")["v"]).select(*facts.columns, value)
+    return both.withColumn(value, seen["v"]).filter("__fact = 1").select(*facts.columns, value)
 
 
 def attribute_changes(df: DataFrame, keys: Sequence[str], value: str, order: str) -> DataFrame:

@@ -8,8 +8,14 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def sessionize(df: DataFrame, user: str, ts: str, gap_seconds: int = 1800, tie: Sequence[str] = ()) -> DataFrame:
-    """Adds session_number and session_id (user#number). A gap of exactly gap_seconds stays in the session."""
+def sessionize(df: DataFrame, user: str, ts: str, gap_seconds: int = 1800, tie: Sequence[str] = (), split_seconds: int | None = None) -> DataFrame:
+    """Adds session_number and session_id (user#number). A gap of exactly gap_seconds stays in the session.
+
+    split_seconds: a user's rows are sorted in stretches of this length and the numbers carried from one to the next, so that
+    no task gets all rows of a user who has very many. It costs two aggregations and a join.
+    """
+    if split_seconds:
+        return _sessionize_split(df, user, ts, gap_seconds, tie, split_seconds)
     w = Window.partitionBy(user).orderBy(ts, *tie)
     apart = F.unix_timestamp(ts) - F.unix_timestamp(F.lag(ts).over(w))
     starts = df.withColumn("__start", F.when(apart.isNull() | (apart > gap_seconds), 1).otherwise(0))
@@ -17,6 +23,23 @@ def sessionize(df: DataFrame, user: str, ts: str, gap_seconds: int = 1800, tie:
     return numbered.withColumn("session_id", F.concat_ws("#", F.col(user).cast("string"), F.col("session_number").cast("string"))).drop("__start")
 
 
+def _sessionize_split(df: DataFrame, user: str, ts: str, gap_seconds: int, tie: Sequence[str], split_seconds: int) -> DataFrame:
+    rows = df.withColumn("__part", F.floor(F.unix_timestamp(ts) / split_seconds))
+    last = rows.groupBy(F.col(user).alias("__user"), F.col("__part").alias("__of")).agg(F.max(ts).alias("__last"))
+    over = Window.partitionBy("__user").orderBy("__of")  # one row a stretch
+    last = last.withColumn("__last", F.lag("__last").over(over))
+    here = lambda other: F.col(user).eqNullSafe(F.col("__user")) & F.col("__part").eqNullSafe(F.col("__of"))
+    w = Window.partitionBy(user, "__part").orderBy(ts, *tie)
+    known = rows.join(last, here(last)).drop("__user", "__of")
+    apart = F.unix_timestamp(ts) - F.unix_timestamp(F.coalesce(F.lag(ts).over(w), "__last"))
+    starts = known.withColumn("__start", F.when(apart.isNull() | (apart > gap_seconds), 1).otherwise(0)).drop("__last")
+    before = starts.groupBy(F.col(user).alias("__user"), F.col("__part").alias("__of")).agg(F.sum("__start").alias("__in"))
+    before = before.withColumn("__before", F.sum("__in").over(over) - F.col("__in")).drop("__in")
+    numbered = starts.withColumn("__inside", F.sum("__start").over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+    numbered = numbered.join(before, here(before)).withColumn("session_number", F.col("__before") + F.col("__inside"))
+    return numbered.withColumn("session_id", F.concat_ws("#", F.col(user).cast("string"), F.col("session_number").cast("string"))).select(*df.columns, "session_number", "session_id")
+
+
 def streaks(df: DataFrame, user: str, day: str) -> DataFrame:
     """Runs of consecutive days of each user: start, end, days. Repeated days count once."""
     days = df.select(user, F.to_date(day).alias("d")).distinct()

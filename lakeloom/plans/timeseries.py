@@ -96,8 +96,10 @@ def moving_mean_calendar(spark, d):
 
 @query("select event_id, count(*) over (partition by event_type order by ts::date) as upto from events")
 def default_frame_counts_peers(spark, d):
-    """WIN10"""
-    return events(spark, d).select("event_id", F.count(F.lit(1)).over(Window.partitionBy("event_type").orderBy(F.to_date("ts"))).alias("upto"))
+    """WIN10: peers count together, so days are counted before the window"""
+    by_day = events(spark, d).groupBy("event_type", F.to_date("ts").alias("day")).agg(F.count(F.lit(1)).alias("n"))
+    upto = by_day.select("event_type", "day", F.sum("n").over(Window.partitionBy("event_type").orderBy("day")).alias("upto"))  # one row a type and day
+    return events(spark, d).withColumn("day", F.to_date("ts")).join(upto, ["event_type", "day"]).select("event_id", "upto")
 
 
 @query("select ts::date as d, sum(count(*)) over (order by ts::date)::bigint as total from events group by ts::date")
@@ -123,6 +125,12 @@ def sessionize_30m(spark, d):
     return timeline.sessionize(events(spark, d), "user_id", "ts", tie=["event_id"]).select("event_id", "session_number", "session_id")
 
 
+@query(f"select event_id, session_number, user_id::varchar || '#' || session_number::varchar as session_id from {SESSIONS}")
+def sessionize_hot_users(spark, d):
+    """WIN6: a user's rows in stretches of a day, so that a hot user is no single task"""
+    return timeline.sessionize(events(spark, d), "user_id", "ts", tie=["event_id"], split_seconds=86_400).select("event_id", "session_number", "session_id")
+
+
 @query("""with x as (select distinct user_id, ts::date as d from events), y as (select user_id, d, d - row_number() over (partition by user_id order by d)::int as island from x)
     select user_id, min(d) as "start", max(d) as "end", count(*) as days from y group by user_id, island""")
 def activity_streaks(spark, d):
@@ -239,6 +247,15 @@ def asof_latest_change(spark, d):
     return history.as_of_latest(f, p, ["user_id"], "ts", "at", "last_purchase").select("event_id", "last_purchase")
 
 
+@query("""select e.event_id, p.value as last_purchase from events e asof left join (select user_id, ts, max(value) as value from events where event_type = 'purchase' group by all) p on e.user_id = p.user_id and e.ts >= p.ts where e.event_type <> 'purchase'""")
+def asof_hot_keys(spark, d):
+    """JON9: a key's rows in stretches of a day"""
+    e = events(spark, d)
+    p = e.filter("event_type = 'purchase'").groupBy("user_id", "ts").agg(F.max("value").alias("last_purchase")).withColumnRenamed("ts", "at")
+    f = e.filter("event_type != 'purchase'").select("event_id", "user_id", "ts")
+    return history.as_of_latest(f, p, ["user_id"], "ts", "at", "last_purchase", split_seconds=86_400).select("event_id", "last_purchase")
+
+
 @query("""with m as (select *, lag(event_type) over (partition by user_id order by ts, event_id) as p from events), c as (select * from m where p is null or p <> event_type)
     select user_id, arg_max(event_type, struct_pack(t := ts, e := event_id)) as current, arg_max(coalesce(p, '~'), struct_pack(t := ts, e := event_id)) as previous from c group by user_id""")
 def scd3_current_previous(spark, d):
