@@ -58,5 +58,12 @@ def kappa(df: DataFrame, a: str, b: str) -> DataFrame:
     return both.select(F.when(F.col("expected") == 1, 1.0).otherwise((F.col("seen") - F.col("expected")) / (1 - F.col("expected"))).alias("kappa"))
 
 
+def matrix_text(cells: Sequence[Sequence[int]], labels: Sequence[str]) -> str:
+    """A confusion matrix as text: a row for each true label, a column for each predicted one."""
+    width = max(len(str(x)) for x in [*labels, *(c for row in cells for c in row)])
+    lines = [" ".join(str(x).rjust(width) for x in ["", *labels])]
+    return "\n".join([*lines, *(" ".join(str(x).rjust(width) for x in [label, *row]) for label, row in zip(labels, cells, strict=True))])
+
+
 def gate(name: str, value: float, least: float) -> tuple[bool, str]:
     return value >= least, f"{name}: {value:.3f} (at least {least:.3f})"

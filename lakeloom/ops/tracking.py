@@ -247,6 +247,12 @@ def run_figures(runs: DataFrame, by: Sequence[str] = ("pipeline", "step")) -> Da
     )
 
 
+def run_times(runs: DataFrame, run: str = "run_id") -> DataFrame:
+    """For each run: its steps, whether any failed (then the run did), seconds from first start to last end, and the sum of its steps' seconds."""
+    wall = (F.unix_micros(F.max(F.col("finished_at").cast("timestamp"))) - F.unix_micros(F.min(F.col("started_at").cast("timestamp")))) / 1e6
+    return runs.groupBy(run).agg(F.count(F.lit(1)).alias("steps"), F.max((F.col("status") == "failed").cast("int")).alias("failed"), wall.alias("wall_s"), F.sum("duration_s").alias("steps_s"))
+
+
 def service_level(runs: DataFrame, target: float, within_s: float | None = None, by: Sequence[str] = ("pipeline",)) -> DataFrame:
     """The share of good runs (ended well, and in time if there is a limit), and how much of the error budget is left; below zero: overspent."""
     good = F.col("status") == "ok"

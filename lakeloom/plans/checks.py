@@ -5,13 +5,13 @@ from __future__ import annotations
 from datetime import datetime, timedelta
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from ..functions import files as small
 from ..functions import inference, metrics, titles
-from ..operators import privacy, profile, quality
+from ..operators import flow, history, privacy, profile, quality
 from ..ops import retry, tracking
 from ..registry import query, read
 from ..session import scoped_conf
@@ -424,3 +424,66 @@ def more_scalars(spark, d):
 def crc_of_text(spark, d):
     """FN28: crc32, which DuckDB lacks; a test holds it against zlib"""
     return read(spark, d, "events").select("event_id", F.crc32(F.col("event_type")).alias("crc"))
+
+
+@query("""select event_type, count(*) as events, max(value) as highest from events where value > 5 and event_type <> 'error' group by 1
+    union all select 'rejected', count(*), max(value) from events where not (value > 5 and event_type <> 'error')""")
+def declared_tables(spark, d):
+    """DQ16: bronze, silver with rules, gold and rejected rows from declarations in any order"""
+    f = flow.Flow(spark, scratch(spark))
+
+    @f.table(reads=["silver"])
+    def gold(silver):
+        return silver.groupBy("event_type").agg(F.count(F.lit(1)).alias("events"), F.max("value").alias("highest"))
+
+    @f.table(reads=["bronze"], rules=[quality.Expectation("valued", "value > 5", "drop"), quality.Expectation("good", "event_type <> 'error'", "drop")])
+    def silver(bronze):
+        return bronze
+
+    @f.table()
+    def bronze():
+        return read(spark, d, "events").select("event_id", "event_type", "value")
+
+    f.run()
+    rejected = f.read("silver_rejected").agg(F.lit("rejected").alias("event_type"), F.count(F.lit(1)).alias("events"), F.max("value").alias("highest"))
+    return f.read("gold").unionByName(rejected)
+
+
+@query("""select user_id as run_id, count(*) as steps, max((event_type = 'error')::int) as failed, date_diff('microsecond', min(ts), max(ts)) / 1e6 as wall_s, max(value) as longest from events group by 1""")
+def run_wall_times(spark, d):
+    """AGG29, AGG30: a run fails if a step of it failed; its time from the first start to the last end"""
+    e = read(spark, d, "events").select(F.col("user_id").alias("run_id"), F.col("ts").alias("started_at"), F.col("ts").alias("finished_at"), F.when(F.col("event_type") == "error", "failed").otherwise("ok").alias("status"), F.col("value").alias("duration_s"))
+    longest = e.groupBy("run_id").agg(F.max("duration_s").alias("longest"))
+    return tracking.run_times(e).drop("steps_s").join(longest, "run_id")
+
+
+@query("select count(*) as facts, (select count(*) from orders o join (select o_custkey as c from orders group by 1, o_orderstatus) h on o.o_custkey = h.c) as multiplied from orders")
+def naive_history_join(spark, d):
+    """JON10: facts joined to a history by the natural key alone are multiplied; joined by the moment they aren't"""
+    o = read(spark, d, "orders").withColumn("at", F.lit("2024-01-01").cast("timestamp"))
+    history_rows = o.select("o_custkey", "o_orderstatus").distinct().withColumn("valid_from", F.expr("timestamp'2023-01-01' + make_dt_interval(ascii(o_orderstatus))"))
+    w = Window.partitionBy("o_custkey").orderBy("valid_from")
+    versions = history_rows.withColumn("valid_to", F.lead("valid_from").over(w))
+    once = history.as_of_join(o.select("o_orderkey", "o_custkey", "at"), versions, ["o_custkey"], "at", ["o_orderstatus"])
+    return facts(spark, "facts bigint, multiplied bigint", (once.count(), o.join(versions.select("o_custkey"), "o_custkey").count()))
+
+
+@query("select l_orderkey, l_linenumber, l_quantity, (row_number() over (partition by l_returnflag order by l_quantity, l_orderkey, l_linenumber))::bigint as place from lineitem")
+def sorted_inside_partitions(spark, d):
+    """SRT4, SRT5: rows dealt by a hash of the flag and sorted inside partitions, which spills where memory ends; places follow without a further shuffle"""
+    dealt = read(spark, d, "lineitem").select("l_returnflag", "l_orderkey", "l_linenumber", "l_quantity").repartition("l_returnflag").sortWithinPartitions("l_returnflag", "l_quantity", "l_orderkey", "l_linenumber")
+    placed = dealt.withColumn("place", F.row_number().over(Window.partitionBy("l_returnflag").orderBy("l_quantity", "l_orderkey", "l_linenumber")).cast("bigint"))
+    assert len(tracking.grep_plan(placed, "Exchange")) == 1
+    return placed.drop("l_returnflag")
+
+
+@query("select o_orderkey, case when o_orderkey % 97 = 0 then null else o_custkey end as o_custkey from orders")
+def rewritten_rows(spark, d):
+    """PRJ15: a column rewritten where a condition holds"""
+    return read(spark, d, "orders").select("o_orderkey", F.when(F.col("o_orderkey") % 97 != 0, F.col("o_custkey")).alias("o_custkey"))
+
+
+@query("select event_id % 4 as key, count(*) as events, count(distinct user_id) as users from events group by 1")
+def counters_and_sets(spark, d):
+    """DIM11: counts and sets of each key"""
+    return read(spark, d, "events").groupBy((F.col("event_id") % 4).alias("key")).agg(F.count(F.lit(1)).alias("events"), F.countDistinct("user_id").alias("users"))

@@ -235,3 +235,34 @@ def test_pauses_double_up_to_a_bound():
     assert list(retry.pauses(1, 1, 9)) == [] and all(0 <= p <= min(4.0, 2.0**k) for k, p in enumerate(retry.pauses(6, 1.0, 4.0)))
     with pytest.raises(ValueError):
         retry.retry(attempts=0)
+
+
+def test_prompts_usage_and_replay(tmp_path, monkeypatch):
+    from lakeloom.functions import inference, prompts
+
+    (tmp_path / "title.toml").write_text('version = 3\nsystem = "s"\ntemplate = "Classify $title"\n')
+    (tmp_path / "a.toml").write_text('version = "1"\ntemplate = "x"\n')
+    assert [(p.name, p.version) for p in prompts.list_prompts(tmp_path)] == [("a", "1"), ("title", "3")]
+    assert prompts.load_prompt(tmp_path, "title").fill(title="y") == "Classify y"
+    with pytest.raises(KeyError):
+        prompts.load_prompt(tmp_path, "title").fill()
+    assert (prompts.Usage(1, 2) + prompts.Usage(3, 4)).cost(prompts.Price(1.0, 5.0)) == pytest.approx((4 + 30) / 1e6)
+    monkeypatch.setenv("LAKELOOM_MODEL_PROVIDER", "")
+    with pytest.raises(inference.CacheMiss):
+        prompts.cached_client(tmp_path / "c.jsonl").complete({"a": 1})
+    monkeypatch.setenv("LAKELOOM_MODEL_PROVIDER", "other")
+    with pytest.raises(ValueError):
+        prompts.cached_client(tmp_path / "c.jsonl")
+    assert prompts.Predictions(["a", None]).missing == 1 and prompts.Triage(cause="c", category="data", retry=False, next_step="n").category == "data"
+    assert metrics.matrix_text([[1, 20], [3, 4]], ["a", "b"]) == "    a  b\n a  1 20\n b  3  4"
+
+
+def test_declared_tables_know_their_order(spark, tmp_path):
+    from lakeloom.operators import flow
+
+    f = flow.Flow(spark, str(tmp_path))
+    f.table(reads=["b"])(type("F", (), {"__name__": "a", "__call__": lambda s, b: b})())
+    with pytest.raises(ValueError, match="not declared: b"):
+        f.order()
+    f.table()(type("F", (), {"__name__": "b", "__call__": lambda s: spark.range(3)})())
+    assert f.order() == ["b", "a"] and f.run() == {"a": 3, "b": 3}
