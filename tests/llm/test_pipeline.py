@@ -74,3 +74,13 @@ def test_the_rest_imports_without_the_subpackage(tmp_path):
     shutil.copytree(ROOT, tmp_path / "r", ignore=shutil.ignore_patterns(".git", "__pycache__", "llm", "corpus_pipeline.py"))
     said = subprocess.run([sys.executable, "-c", "import __spark_entry__ as e; assert not any(k.startswith('op') for k in e.queries()); print('fine')"], cwd=tmp_path / "r", env={"PATH": "/usr/bin"}, capture_output=True, text=True)
     assert said.stdout.strip() == "fine", said.stderr
+
+
+def test_language_scores_decide_and_nothing_learned_keeps_all(spark, small, monkeypatch):
+    docs = spark.read.parquet(f"{small}/documents.parquet")
+    found = corpus_pipeline.langid.identify(docs, corpus_pipeline.langid.train(docs.filter(common.crc_mod("doc_id", 5) != 0)), out="f").select("doc_id", "f.*").collect()
+    middle = sorted(r["score"] for r in found)[len(found) // 2]
+    monkeypatch.setattr(corpus_pipeline, "LEAST_SCORE", middle)
+    kept = {r["doc_id"] for r in corpus_pipeline.language_id(spark, docs, small).collect()}
+    assert kept == {r["doc_id"] for r in found if r["score"] >= middle and r["lang_pred"] != "und"} and 0 < len(kept) < len(found)
+    assert corpus_pipeline.language_id(spark, docs.withColumn("lang", F.lit(None).cast("string")), small).count() == docs.count()
