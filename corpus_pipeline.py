@@ -13,7 +13,7 @@ from lakeloom.llm import common, decontam, langid, mixing, nearcopies, queries,
 
 
 #: The least mean probability of a document's language; see the README for what it rejects.
-LEAST_SCORE = 0.35
+LEAST_SCORE = 0.4
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
