@@ -8,6 +8,7 @@ prior's share of the positive ones and is kept from turning negative (the non-ne
 from __future__ import annotations
 
 import re
+import sys
 
 import numpy as np
 import pyarrow as pa
@@ -91,7 +92,7 @@ def train(docs: DataFrame, labels: DataFrame, learned, id_col: str = "doc_id", t
     wanted = common.drawn(marks.filter("toxic = 1").distinct(), 1.5 * POSITIVES / max(1, toxic), POSITIVES, 7, "id").select("id")
     positive = common.drawn(texts.join(F.broadcast(wanted), "id", "left_semi"), 1.0, POSITIVES, 11, "id", "text")  # at most POSITIVES ids
     unlabelled = common.drawn(texts, 1.5 * UNLABELLED / max(1, docs.count()), UNLABELLED, 13, "id", "text")
-    sets = [[set(r["words"]) for r in df.select(words_of()("text").alias("w")).select("w.words").collect()] for df in (positive, unlabelled)]
+    sets = [[set(map(sys.intern, r["words"])) for r in df.select(words_of()("text").alias("w")).select("w.words").toLocalIterator()] for df in (positive, unlabelled)]  # one copy of each word
     return fit(*sets, toxic / n if n else 0.0)
 
 
