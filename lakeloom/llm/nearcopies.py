@@ -32,6 +32,8 @@ MAX_BITS = 54
 ROWS = 100_000
 #: Round r of the exact pass takes up the first BASE**r members of a bucket, or about as many.
 BASE, LEVELS = 8, 7
+#: Once the pairs left in buckets, whatever they are, number no more than this for each text, one round takes them all.
+FEW = 8
 WIDE, LEAST = [f"s{i}" for i in range(PARTS)], [f"m{i}" for i in range(TABLES)]
 #: Two sums that stand for the whole set of shingles: texts with equal ones are one node.
 WHOLE = ["w0", "w1"]
@@ -262,23 +264,25 @@ def closed(classes: DataFrame, texts: DataFrame, tested: DataFrame, links: DataF
 
     Texts that share a shingle of their prefixes meet in a bucket. Round r compares the texts of level r with all after them
     that are not known to be connected with them, so each pair is compared in the round of its first text or is joined by
-    then. Pairs whose sizes or whose places of the shingle rule the similarity out are not compared: of a pair's first common
-    shingle both bounds hold.
+    then. The last round takes all that are left, once they are few. Pairs whose sizes or whose places of the shingle rule
+    the similarity out are not compared: of a pair's first common shingle both bounds hold.
     """
     met, level, edges = meetings(classes), 0, shortened(links)
+    few = FEW * classes.count()
     while True:
         known = labels(edges)
-        now = met.drop("component").join(known.select(F.col("node").alias("id"), F.col("label").alias("component")), "id", "left").withColumn("component", F.coalesce("component", "id"))
-        open_keys = now.groupBy("key").agg(F.min("component").alias("a"), F.max("component").alias("b")).filter("a < b").select("key")
-        still = common.stored(now.join(open_keys, "key", "left_semi"), "open")
+        now = met.drop("component", "members").join(known.select(F.col("node").alias("id"), F.col("label").alias("component")), "id", "left").withColumn("component", F.coalesce("component", "id"))
+        open_keys = now.groupBy("key").agg(F.min("component").alias("a"), F.max("component").alias("b"), F.count(F.lit(1)).alias("members")).filter("a < b").select("key", "members")
+        still = common.stored(now.join(open_keys, "key"), "open")
         common.release(met)
         met = still
-        most = met.agg(F.max("level")).first()[0]
+        most, pairs_left = met.agg(F.max("level"), F.sum("members")).first()
         if most is None or most < level:
             common.release(met)
             return edges
         x, y = (met.select("key", *(F.col(c).alias(f"{c}_{side}") for c in ("id", "n", "pos", "score", "level", "component"))) for side in "xy")
-        pairs = x.filter(F.col("level_x") == level).join(y, "key").filter("component_x <> component_y")
+        last = pairs_left <= few
+        pairs = x.filter(F.col("level_x") >= level if last else F.col("level_x") == level).join(y, "key").filter("component_x <> component_y")
         pairs = pairs.filter("score_x > score_y or score_x = score_y and id_x > id_y")
         both = F.least(F.expr("n_x - pos_x"), F.expr("n_y - pos_y"))  # the shared one and all after it
         pairs = pairs.filter(F.least("n_x", "n_y") >= F.greatest("n_x", "n_y") * similarity - 1e-9)
@@ -288,6 +292,9 @@ def closed(classes: DataFrame, texts: DataFrame, tested: DataFrame, links: DataF
         found, before = links_of(pairs, texts, k, similarity), edges
         tested, edges = tested.union(pairs), shortened(edges.union(found))
         common.release(found, before)
+        if last:
+            common.release(met)
+            return edges
         level += 1
 
 
