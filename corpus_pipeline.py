@@ -33,8 +33,8 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     groups = nearcopies.row_components(rows.select(F.col(row).alias("id"), "text")).withColumnRenamed("id", row)
     members = common.stored(rows.select(row, F.col("doc_id").alias("doc")).join(groups, row), "groups")
     least = F.min(F.struct(F.col("doc").isNull().alias("none"), "doc", row))[row]
-    kept = members.groupBy("component").agg(least.alias("kept"))
-    dropped = members.join(kept, "component").filter(F.col(row) != F.col("kept")).select(row)
+    kept = members.groupBy("component").agg(least.alias(row))
+    dropped = members.select(row).join(kept, row, "left_anti")
     return rows.join(common.stored(dropped, "dropped"), row, "left_anti").select(docs.columns)
 
 
