@@ -55,14 +55,23 @@ class Out:
     """Writes bits, the lowest of each byte first."""
 
     def __init__(self):
-        self.value, self.n = 0, 0
+        self.done, self.value, self.held = bytearray(), 0, 0
+
+    @property
+    def n(self) -> int:
+        return 8 * len(self.done) + self.held
 
     def write(self, value: int, n: int) -> None:
-        self.value |= value << self.n
-        self.n += n
+        self.value |= value << self.held
+        self.held += n
+        if self.held > 2048:  # so that no number grows long
+            whole = self.held >> 3
+            self.done += (self.value & ((1 << 8 * whole) - 1)).to_bytes(whole, "little")
+            self.value >>= 8 * whole
+            self.held &= 7
 
     def bytes(self) -> bytes:
-        return self.value.to_bytes(-(-self.n // 8), "little")
+        return bytes(self.done) + self.value.to_bytes(-(-self.held // 8), "little")
 
 
 class Code:
@@ -483,27 +492,34 @@ def read_side_by_side(streams: list[tuple[bytes, int, int, Code]]) -> list[np.nd
 
 def _lengths(counts: list[int], most: int = 15) -> list[int]:
     """Lengths of a complete prefix code; counts are raised until none is longer than most."""
-    import heapq
-
     used = [s for s, c in enumerate(counts) if c]
     out = [0] * len(counts)
     if len(used) <= 1:
         for s in used:
             out[s] = 1
         return out
-    floor = 1
+    n, floor = len(used), 1
     while True:
-        heap = [(max(counts[s], floor), s, (s,)) for s in used]
-        heapq.heapify(heap)
-        depth = dict.fromkeys(used, 0)
-        while len(heap) > 1:
-            a, b = heapq.heappop(heap), heapq.heappop(heap)
-            for s in a[2] + b[2]:
-                depth[s] += 1
-            heapq.heappush(heap, (a[0] + b[0], min(a[1], b[1]), a[2] + b[2]))
-        if max(depth.values()) <= most:
-            for s, n in depth.items():
-                out[s] = n
+        leaves = sorted((max(counts[s], floor), s) for s in used)
+        weight = [c for c, _ in leaves]  # leaves by weight, then the nodes made of two, which come in the order of weight too
+        parent = [0] * (2 * n - 1)
+        leaf, node = 0, n
+        for made in range(n, 2 * n - 1):
+            total = 0
+            for _ in range(2):
+                if leaf < n and (node >= made or weight[leaf] <= weight[node]):
+                    take, leaf = leaf, leaf + 1
+                else:
+                    take, node = node, node + 1
+                total += weight[take]
+                parent[take] = made
+            weight.append(total)
+        depth = [0] * (2 * n - 1)
+        for i in range(2 * n - 3, -1, -1):
+            depth[i] = depth[parent[i]] + 1
+        if max(depth[:n]) <= most:
+            for d, (_, s) in zip(depth, leaves, strict=False):
+                out[s] = d
             return out
         floor *= 2
 
@@ -520,22 +536,7 @@ def _write_code(out: Out, lengths: list[int]) -> dict[int, tuple[int, int]]:
         if len(used) == 2:
             out.write(used[1], 8)
         return {used[0]: (0, 0)} if len(used) == 1 else {used[0]: (0, 1), used[1]: (1, 1)}
-    out.write(0, 1)
-    end = max(used) + 1
-    own = _lengths([lengths[:end].count(n) for n in range(16)] + [0, 0, 0], 7)
-    out.write(len(LENGTH_ORDER) - 4, 4)
-    for s in LENGTH_ORDER:
-        out.write(own[s], 3)
-    if end < len(lengths):
-        out.write(1, 1)
-        width = max(2, (end - 2).bit_length() + (end - 2).bit_length() % 2)
-        out.write((width - 2) // 2, 3)
-        out.write(end - 2, width)
-    else:
-        out.write(0, 1)
-    codes = _symbols(own)
-    for n in lengths[:end]:
-        out.write(*codes[n])
+    out.write(*_code_bits(lengths))
     return _symbols(lengths)
 
 
@@ -746,11 +747,16 @@ def encode_best(pixels: np.ndarray) -> bytes:
     """The smallest of the forms that can pay: prefix codes alone; a palette where few colours make it; back-references and a cache where much repeats."""
     argb = np.ascontiguousarray(pixels, np.uint8).reshape(-1, 4).view("<u4").reshape(-1)
     forms = [encode_fitted(pixels)]
-    colours = len(np.unique(argb))
-    if colours <= 256 and 3 * colours + len(argb) * math.log2(max(2, colours)) / 8 < len(forms[0]):
+    colours = _distinct(argb)
+    if colours <= 64 and 1.25 * (3 * colours + len(argb) * math.log2(max(2, colours)) / 8) < len(forms[0]):
         forms.append(encode(pixels, palette=True))
     if len(argb) >= 16 and 2 * colours < len(argb):
         a, b = (argb[i : i + len(argb) - 3].astype(np.uint64) << np.uint64(32) | argb[i + 1 : i + len(argb) - 2] for i in (0, 2))
-        if 4 * len(np.unique(a * np.uint64(0x9E3779B97F4A7C15) ^ b)) < len(a):
+        if 6 * _distinct(a * np.uint64(0x9E3779B97F4A7C15) ^ b) < len(a):
             forms.append(encode(pixels, references=True, cache_bits=4))
     return min(forms, key=len)
+
+
+def _distinct(values: np.ndarray) -> int:
+    s = np.sort(values)
+    return 1 + int(np.count_nonzero(s[1:] != s[:-1]))
