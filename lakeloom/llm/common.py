@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import atexit
 import ctypes
+import gc
 import shutil
 import tempfile
 import uuid
@@ -72,6 +73,12 @@ def _delete(path: str) -> None:
     at.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(at, True)
 
 
+def collect_garbage(spark: SparkSession) -> None:
+    """Shuffle files stay on the executors' disks until the driver collects plans that nobody holds; this makes it do so now."""
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 def fresh(name: str, *used: DataFrame) -> str:
     """A column name that none of these tables has."""
     taken = {c.lower() for df in used for c in df.columns}

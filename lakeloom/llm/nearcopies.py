@@ -6,9 +6,12 @@ indices of nearby Golay codewords (one or six, see golay), and each of these key
 shingles, which stands for the exact block that the short fingerprint has. Texts that share a key meet in a bucket, where
 each is tied to the first one within 54 bits, before the shuffle already; these ties are verified on whole texts.
 
-These links find most groups but are a start only. An exact pass (see closed) then compares what they have not joined: in any fixed order of all
-shingles, two sets of this similarity share a shingle among their first n - ceil(0.8 n) + 1 ones, so the texts that hold the
-same shingle there are compared until no untested pair crosses two components.
+These links find most groups but are a start only. An exact pass (see closed) then compares what they have not joined. Two sets
+of this similarity differ in at most a quarter of the smaller one's shingles; dealt by hash into more parts than that, some
+part is the same in both (see part_keys), and seldom by chance, however many texts there are. Texts with too many parts that
+are empty, or hold frequent shingles only, also meet by single shingles: in any fixed order of all shingles, two sets of this
+similarity share one among their first n - ceil(0.8 n) + 1 ones. Texts that meet are compared until no untested pair crosses
+two components.
 """
 
 from __future__ import annotations
@@ -37,6 +40,8 @@ FEW = 8
 WIDE, LEAST = [f"s{i}" for i in range(PARTS)], [f"m{i}" for i in range(TABLES)]
 #: Two sums that stand for the whole set of shingles: texts with equal ones are one node.
 WHOLE = ["w0", "w1"]
+#: Keys of parts that a task holds at once, about, and bytes of a key as it is sent.
+KEYS, KEY_BYTES = 1_000_000, 6
 #: Texts that frequent shingles are looked for in, and how many are kept. Both only set the order of shingles, never what is found.
 ORDER_TEXTS, ORDER_SHINGLES = 20_000, 100_000
 
@@ -93,15 +98,131 @@ def prefix(h: np.ndarray, similarity: float, frequent: np.ndarray, counts: np.nd
     return h[np.lexsort((h, often))][: len(h) - int(np.ceil(similarity * len(h) - 1e-9)) + 1]
 
 
+def whole_sum(h: np.ndarray, i: int) -> np.uint64:
+    """A sum that stands for the whole set of hashes."""
+    return mixed(h, PARTS + TABLES + i).sum(dtype=np.uint64)
+
+
+def size_classes(similarity: float, most: int = 1 << 31) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(least sizes, parts, spare parts) of the classes of set sizes. A similar set is in the same class or in one next to it.
+
+    The smaller of two similar sets has n shingles of class c, and they differ in at most (1 - s) / s * n. So of c's parts at
+    least one more than the spare ones are the same in both. There are as many spare ones as are usually empty, and some more.
+    """
+    start = [1]
+    while start[-1] < most:
+        start.append(int(start[-1] * 1.25) + 1)
+    start = np.array(start, np.int64)
+    differ = np.floor((1 - similarity) / similarity * (start[1:] - 1) + 1e-6).astype(np.int64)
+    start, spare = start[:-1], np.zeros(len(differ), np.int64)
+    for _ in range(50):
+        parts = differ + 1 + spare
+        empty = parts * np.exp(-start / parts)
+        spare = np.maximum(spare, np.ceil(empty + 2.5 * np.sqrt(empty)).astype(np.int64) * (differ > 0))
+    return start, differ + 1 + spare, spare
+
+
+def part_keys(found: list[np.ndarray], similarity: float, frequent: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(sets, keys, whether each set is sparse). Two similar sets have a key in common, unless both are sparse.
+
+    A set is dealt twice: for pairs whose smaller one is of its class, and for those whose smaller one is of the class below.
+    Each part with a shingle that is not frequent makes a key. A set is sparse if more than the spare parts make none.
+    """
+    start, parts, spare = size_classes(similarity)
+    n = np.array([len(h) for h in found], np.int64)
+    sparse, owners, keys = np.zeros(len(found), bool), [], []
+    every = np.concatenate([*found, np.zeros(0, np.uint64)])
+    owner = np.repeat(np.arange(len(found)), n)
+    rare = np.ones(len(every), bool)
+    if len(frequent):
+        rare = frequent[np.minimum(np.searchsorted(frequent, every), len(frequent) - 1)] != every
+    place, value = mixed(every, 101), mixed(every, 102)
+    for below in range(2):
+        cls = np.searchsorted(start, n, "right") - 1 - below
+        there = cls >= 0
+        m = np.where(there, parts[cls], 0)
+        first = np.cumsum(m) - m
+        held = np.flatnonzero(there[owner])
+        slot = first[owner[held]] + (place[held] % m[owner[held]].astype(np.uint64)).astype(np.int64)
+        sums = np.zeros(int(m.sum()), np.uint64)
+        np.add.at(sums, slot, value[held])
+        full = np.bincount(slot[rare[held]], minlength=len(sums)) > 0
+        of = np.repeat(np.arange(len(found)), m)
+        number = (np.arange(len(sums)) - first[of]).astype(np.uint64) | cls[of].astype(np.uint64) << np.uint64(40)
+        sparse |= there & (np.bincount(of[~full], minlength=len(found)) > spare[cls])
+        owners.append(of[full])
+        keys.append(mixed(sums[full] ^ mixed(number[full], 103), 104))
+    return np.concatenate(owners), np.concatenate(keys), sparse
+
+
+def part_rows(k: int, similarity: float, frequent: np.ndarray, buckets: int):
+    """Texts to rows (bucket, rows): the keys of parts in this bucket, KEY_BYTES each, then the sets that have them, 8 bytes each."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, count, met = [], 0, set()
+
+        def out() -> pa.RecordBatch:
+            key, whole = (np.concatenate(x) for x in zip(*held, strict=True))
+            bucket = (key % np.uint64(buckets)).astype(np.int64)
+            order = np.argsort(bucket, kind="stable")
+            key, whole, bucket = key[order], whole[order], bucket[order]
+            first = np.flatnonzero(np.diff(bucket, prepend=-1))
+            cut = [slice(a, b) for a, b in zip(first, np.append(first[1:], len(bucket)), strict=True)]
+            rows = [np.ascontiguousarray(key[c].view(np.uint8).reshape(-1, 8)[:, :KEY_BYTES]).tobytes() + whole[c].tobytes() for c in cut]
+            return pa.RecordBatch.from_arrays([pa.array(bucket[first].astype(np.int32)), pa.array(rows, pa.binary())], names=["bucket", "rows"])
+
+        for batch in batches:
+            found = {}
+            for h in (hashes(t, k) for t in common.whole_text(batch.column("text"))):
+                if (w := whole_sum(h, 0)) not in met:  # a copy has the same keys
+                    met.add(w)
+                    found[w] = h
+            owner, key, _ = part_keys(list(found.values()), similarity, frequent)
+            held.append((key & np.uint64((1 << 8 * KEY_BYTES) - 1), np.array(list(found), np.uint64)[owner]))
+            count += len(key)
+            if count > KEYS:
+                yield out()
+                held, count = [], 0
+        if count:
+            yield out()
+
+    return run
+
+
+def part_meetings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows of part_rows(), whole buckets, to (key, w0, size) of the keys that several sets have."""
+    keys, wholes = [np.zeros(0, np.uint64)], [np.zeros(0, np.uint64)]
+    for batch in batches:
+        for rows in batch.column("rows").to_pylist():
+            n = len(rows) // (KEY_BYTES + 8)
+            key = np.zeros((n, 8), np.uint8)
+            key[:, :KEY_BYTES] = np.frombuffer(rows, np.uint8, n * KEY_BYTES).reshape(n, KEY_BYTES)
+            keys.append(key.reshape(-1).view(np.uint64))
+            wholes.append(np.frombuffer(rows, np.uint8, offset=n * KEY_BYTES).copy().view(np.uint64))
+    key, whole = np.concatenate(keys), np.concatenate(wholes)
+    order = np.lexsort((whole, key))
+    key, whole = key[order], whole[order]
+    new = np.ones(len(key), bool)
+    new[1:] = (key[1:] != key[:-1]) | (whole[1:] != whole[:-1])
+    key, whole = key[new], whole[new]
+    first = np.flatnonzero(np.append(True, key[1:] != key[:-1])) if len(key) else np.zeros(0, np.int64)
+    size = np.diff(first, append=len(key))
+    size = np.repeat(size, size)
+    key, whole, size = key[size > 1], whole[size > 1], size[size > 1]
+    for a in range(0, len(key), ROWS):
+        yield pa.RecordBatch.from_arrays([pa.array(x[a : a + ROWS].view(np.int64)) for x in (key, whole, size)], names=["key", "w0", "size"])
+
+
 def sketch(k: int, similarity: float, frequent: np.ndarray, counts: np.ndarray):
-    """A UDF: text -> struct of the fingerprint's parts, the least hashes and the sums of the set, as signed numbers, the set's size and its prefix."""
+    """A UDF: text -> struct of the fingerprint's parts, the least hashes and the sums of the set, as signed numbers, the set's size and, of a sparse set, its prefix."""
 
     def start():
         def run(texts: list[bytes | None]):
             found = [hashes(t, k) for t in texts]
             wide, least = sketches(found)
-            whole = np.array([[mixed(h, PARTS + TABLES + i).sum(dtype=np.uint64) for i in range(2)] for h in found], np.uint64).reshape(-1, 2)
-            first = pa.array([prefix(h, similarity, frequent, counts).view(np.int64) for h in found], pa.list_(pa.int64()))
+            whole = np.array([[whole_sum(h, i) for i in range(2)] for h in found], np.uint64).reshape(-1, 2)
+            sparse = part_keys(found, similarity, frequent)[2]
+            first = pa.array([prefix(h, similarity, frequent, counts).view(np.int64) if s else [] for h, s in zip(found, sparse, strict=True)], pa.list_(pa.int64()))
             return (*(np.ascontiguousarray(c).view(np.int64) for c in (*wide.T, *least.T, *whole.T)), np.array([len(h) for h in found], np.int32), first)
 
         return run
@@ -236,20 +357,22 @@ def links_of(edges: DataFrame, texts: DataFrame, k: int, similarity: float) -> D
     return links
 
 
-def meetings(classes: DataFrame) -> DataFrame:
-    """Rows (key, id, n, pos, score, level) of the shingles of prefixes that several texts have there.
+def meetings(classes: DataFrame, parts: DataFrame) -> DataFrame:
+    """Rows (key, id, n, pos, score, level) of the parts (key, w0, size) and the shingles of prefixes that several texts have; pos: the place in the prefix, 0 for a part.
 
-    Texts are ordered by score: those whose prefix others share most come first, as the origin of a group of copies does. The
+    Texts are ordered by score: those whose keys others share most come first, as the origin of a group of copies does. The
     level is the round in which a text is compared with all after it in its bucket: about the first BASE**r of them in round
     r. Levels come from quantiles, which are aggregated before the shuffle, so a bucket with many of all texts needs no sort.
     """
-    held = classes.filter("n > 0").select("id", "n", F.size("first").alias("of"), F.posexplode("first").alias("pos", "key"))
+    held = classes.filter("n > 0").select("id", "n", F.posexplode("first").alias("pos", "key"))
     sizes = common.stored(held.groupBy("key").agg(F.count(F.lit(1)).alias("size")).filter("size > 1"), "sizes")
-    met = held.join(sizes, "key")
-    noise = F.pmod(F.xxhash64("id"), F.lit(1 << 20)) / F.lit(float(1 << 40))
-    scores = met.groupBy("id", "of").agg(F.count(F.lit(1)).alias("shared")).select("id", (F.col("shared") / F.col("of") + noise).alias("score"))
-    met = common.stored(met.drop("of").join(scores, "id"), "met")
+    by_part = parts.join(classes.select("w0", "id", "n"), "w0").select("key", "id", "n", F.lit(0).alias("pos"), "size")
+    met = common.stored(by_part.union(held.join(sizes, "key").select(by_part.columns)), "keys")
     common.release(sizes)
+    noise = F.pmod(F.xxhash64("id"), F.lit(1 << 20)) / F.lit(float(1 << 40))
+    scores = met.groupBy("id", "n").agg(F.count(F.lit(1)).alias("shared")).select("id", (F.col("shared") / F.col("n") + noise).alias("score"))
+    keys, met = met, common.stored(met.join(scores, "id"), "met")
+    common.release(keys)
     bounds = met.groupBy("key").agg(F.percentile_approx("score", F.array(*(F.lit(1 - float(BASE) ** -j) for j in range(1, LEVELS + 1)))).alias("bounds"))
     met_to = met.join(bounds, "key")
     above = sum((F.col("score") >= F.col("bounds")[j]).cast("int") for j in range(LEVELS))
@@ -259,15 +382,16 @@ def meetings(classes: DataFrame) -> DataFrame:
     return ranked
 
 
-def closed(classes: DataFrame, texts: DataFrame, tested: DataFrame, links: DataFrame, k: int, similarity: float) -> DataFrame:
+def closed(classes: DataFrame, parts: DataFrame, texts: DataFrame, tested: DataFrame, links: DataFrame, k: int, similarity: float) -> DataFrame:
     """Edges that connect what the given links connect, and all other similar texts.
 
-    Texts that share a shingle of their prefixes meet in a bucket. Round r compares the texts of level r with all after them
+    Texts that share a part, or a shingle of their prefixes, meet in a bucket. Round r compares the texts of level r with all after them
     that are not known to be connected with them, so each pair is compared in the round of its first text or is joined by
     then. The last round takes all that are left, once they are few. Pairs whose sizes or whose places of the shingle rule
     the similarity out are not compared: of a pair's first common shingle both bounds hold.
     """
-    met, level, edges = meetings(classes), 0, shortened(links)
+    met, level, edges = meetings(classes, parts), 0, shortened(links)
+    common.collect_garbage(texts.sparkSession)
     few = FEW * classes.count()
     while True:
         known = labels(edges)
@@ -309,14 +433,20 @@ def row_components(texts: DataFrame, shingle: int = 5, similarity: float = 0.8)
     classes = all_rows.groupBy(*WHOLE, "n").agg(F.min("id").alias("id"), *(F.min(c).alias(c) for c in WIDE + LEAST), F.first("first").alias("first"))
     classes = common.stored(classes, "classes")
     common.release(all_rows)
+    common.collect_garbage(texts.sparkSession)
+    buckets = math.ceil((classes.agg(F.sum("n")).first()[0] or 0) * 0.6 / KEYS) + 1
+    parts = texts.select("text").mapInArrow(part_rows(shingle, similarity, frequent[0], buckets), "bucket int, rows binary")
+    parts = common.stored(parts.repartition(buckets, "bucket").mapInArrow(part_meetings, "key bigint, w0 bigint, size bigint"), "parts")
+    common.collect_garbage(texts.sparkSession)
     sent = f"key bigint, id bigint, to bigint, n int, {', '.join(f'{c} bigint' for c in WIDE)}"
     buckets = classes.select("id", "n", *WIDE, *LEAST).filter("n > 0").mapInArrow(keyed(similarity), sent)
     edges = buckets.repartition("key").sortWithinPartitions("key", "id").mapInArrow(close(similarity), "u bigint, v bigint")
     edges = common.stored(edges.filter("u <> v").distinct(), "candidates")
     links = links_of(edges, texts, shingle, similarity)
-    groups = components(closed(classes, texts, edges, links, shingle, similarity)).withColumnRenamed("node", "id")
+    common.collect_garbage(texts.sparkSession)
+    groups = components(closed(classes, parts, texts, edges, links, shingle, similarity)).withColumnRenamed("node", "id")
     known = common.stored(classes.select("id", *WHOLE, "n").join(groups, "id", "left").select(*WHOLE, "n", F.coalesce("component", "id").alias("component")), "members")
-    common.release(classes)
+    common.release(classes, parts)
     return rows.join(known, [*WHOLE, "n"]).select("id", "component")
 
 

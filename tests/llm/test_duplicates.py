@@ -253,3 +253,37 @@ def test_tables_are_numbered_alike_and_released(spark, sf):
     assert common.tables() != before
     common.sweep(before)
     assert common.tables() == before
+
+
+def test_similar_sets_share_a_part_and_others_seldom_do():
+    rng = np.random.default_rng(8)
+    frequent, sets = np.sort(rng.integers(0, 1 << 63, 300, dtype=np.uint64)), []
+    for n in [*range(1, 60), *rng.integers(60, 3000, 240)]:
+        h = np.unique(np.concatenate([rng.integers(0, 1 << 63, n, dtype=np.uint64), rng.choice(frequent, rng.choice([0, min(n, 250)]), replace=False)]))
+        least = int(np.ceil(0.8 * len(h) - 1e-9))
+        swaps = int(rng.integers(0, (len(h) - least) // 2 + 1))  # of each kind: shingles that are others, and that are more or less
+        while 0.8 * (len(h) + swaps) > len(h) - swaps + 1e-9:
+            swaps -= 1
+        sets += [h, np.concatenate([h[swaps:], rng.integers(0, 1 << 63, swaps, dtype=np.uint64)]), h[rng.permutation(len(h))[:least]]]
+    owner, key, sparse = nearcopies.part_keys(sets, 0.8, frequent)
+    held = [set(key[owner == i].tolist()) for i in range(len(sets))]
+    for i in range(0, len(sets), 3):
+        for j in (i + 1, i + 2):
+            assert held[i] & held[j] or sparse[i] and sparse[j]
+    assert sparse.mean() < 0.2
+    others = [len(held[i] & held[j]) for i in range(0, len(sets), 3) for j in range(i + 3, len(sets), 3)]
+    assert not any(others)
+
+
+def test_meetings_grow_no_faster_than_texts(spark):
+    """Chance meetings of unlike texts with few distinct words: by single shingles of prefixes they grew with the square."""
+    rng = np.random.default_rng(9)
+    rows = [(i, " ".join(f"w{x}" for x in rng.integers(0, 9, 300))) for i in range(600)]  # 9 ** 5 shingles in all
+    texts = spark.createDataFrame(rows, "id bigint, text string").select("text")
+    parts = texts.mapInArrow(nearcopies.part_rows(5, 0.8, np.zeros(0, np.uint64), 4), "bucket int, rows binary")
+    met = parts.repartition(4, "bucket").mapInArrow(nearcopies.part_meetings, "key bigint, w0 bigint, size bigint")
+    found = [nearcopies.hashes(t.encode(), 5) for _, t in rows]
+    first = np.concatenate([nearcopies.prefix(h, 0.8, np.zeros(0, np.uint64), np.zeros(0, np.int64)) for h in found])
+    _, sizes = np.unique(first, return_counts=True)
+    pairs = sum(r["n"] for r in met.groupBy("key").count().selectExpr("count * (count - 1) div 2 as n").collect())
+    assert pairs * 10 < (sizes * (sizes - 1) // 2).sum()
