@@ -40,6 +40,8 @@ FEW = 8
 WIDE, LEAST = [f"s{i}" for i in range(PARTS)], [f"m{i}" for i in range(TABLES)]
 #: Two sums that stand for the whole set of shingles: texts with equal ones are one node.
 WHOLE = ["w0", "w1"]
+#: Ids that are sent to all executors rather than all texts through a shuffle (a bound on what is broadcast, about 32 MB).
+SENT_IDS = 2_000_000
 #: Keys of parts that a task holds at once, about, and bytes of a key as it is sent.
 KEYS, KEY_BYTES = 1_000_000, 6
 #: Texts that frequent shingles are looked for in, and how many are kept. Both only set the order of shingles, never what is found.
@@ -350,7 +352,9 @@ def verified(k: int, similarity: float):
 def links_of(edges: DataFrame, texts: DataFrame, k: int, similarity: float) -> DataFrame:
     """The edges (u, v) whose whole texts (id, text) are similar. Ids are unique, and sizes of edges' ends alike, so a text joined to its edges is no larger than what it is compared with."""
     ends = edges.select(F.col("u").alias("id")).union(edges.select(F.col("v").alias("id"))).distinct()
-    ends = common.stored(texts.join(ends, "id", "left_semi"), "texts")
+    ids = common.stored(ends, "ends")
+    ends = common.stored(texts.join(F.broadcast(ids) if ids.count() <= SENT_IDS else ids, "id", "left_semi"), "texts")
+    common.release(ids)
     pairs = edges.join(ends.select(F.col("id").alias("u"), F.col("text").alias("a")), "u").join(ends.select(F.col("id").alias("v"), F.col("text").alias("b")), "v")
     links = common.stored(pairs.select("u", "v", "a", "b").mapInArrow(verified(k, similarity), "u bigint, v bigint"), "links")
     common.release(ends)
