@@ -4,8 +4,9 @@ Corpus statistics cover every training row: word counts (for the unigram base) a
 counts. The model predicts the class of the next subword from attention over overlapping windows and takes
 the subword within its class from those counts, so the probabilities of all ids sum to one. A window holds
 2 x STRIDE positions of which the last STRIDE are scored; each subword is scored once. A word's probability is
-that of its subwords, interpolated with its smoothed corpus frequency (weight MIXED). Only the attention weights
-are fitted to a sample, whose size grows with the logarithm of the corpus.
+that of its subwords, interpolated with its smoothed corpus frequency (weight MIXED). The attention weights learn
+from every subword of all training rows: each task carries on from a common start, which a sample gives, over all
+windows of its rows, and the mean of the tasks' weights, by their windows, is the model.
 """
 
 from __future__ import annotations
@@ -26,9 +27,13 @@ from .tokens import encoder
 STRIDE, WIDTH = 16, 16
 #: Output classes of one id, of a band of ids; ids with an input vector of their own.
 SINGLES, BANDS, OWN = 112, 16, 1024
-#: Fitting: pieces drawn from the training rows (more with the corpus, see train), characters of a piece, steps, windows a step.
+#: The start: pieces drawn from the training rows (more with the corpus, see train), characters of a piece, steps, windows a step.
 SAMPLE_ROWS, SAMPLE_CHARS, STEPS, WINDOWS = 1500, 1500, 1000, 96
 DOUBLES_FROM = 200_000
+#: The pass over all rows: windows a step, bytes of text whose windows are shuffled at once, and the first step's share of the rate.
+PASS_WINDOWS, PASS_BYTES, PASS_RATE = 512, 4 << 20, 0.3
+#: Weights are summed as whole multiples of this, so that sums don't depend on their order.
+GRAIN = 2.0**-24
 #: Words of which all workers hold the counts (a bound on what is broadcast), and their longest.
 HOT_WORDS, HOT_BYTES = 200_000, LONGEST
 #: Counts below are told apart where the hot words are chosen.
@@ -100,6 +105,16 @@ def gather(train: DataFrame, path: str, text_col: str = "text") -> Counts:
     return Counts(row[0] or 0, row[1], row[2] or 0, hot, table, pieces)
 
 
+def summed(at: np.ndarray, values: np.ndarray, size: int) -> np.ndarray:
+    """The sums of values (n, width) that go to each place."""
+    order = np.argsort(at.astype(np.uint16), kind="stable")  # radix sort
+    at = at[order]
+    first = np.flatnonzero(np.diff(at, prepend=-1))
+    out = np.zeros((size, values.shape[1]), np.float32)
+    out[at[first]] = np.add.reduceat(values[order], first, axis=0)
+    return out
+
+
 class Model:
     """Attention with tables: queries, keys and values of an input symbol don't depend on its place, so they are looked up."""
 
@@ -173,32 +188,32 @@ class Model:
         np.exp(g, out=g)
         return g, (both, q, kx, vx, (a, every), z, u)
 
-    def step(self, x: np.ndarray, y: np.ndarray, scored: np.ndarray) -> tuple[float, dict[str, np.ndarray]]:
-        """Mean cross entropy of the classes and its gradient."""
-        p, sx = self.parts, self.inputs(x)
+    def step(self, x: np.ndarray, y: np.ndarray, scored: np.ndarray, sx: np.ndarray | None = None) -> tuple[float, dict[str, np.ndarray]]:
+        """Mean cross entropy of the classes and its gradient. sx: the symbols of x, where they are known."""
+        p, sx = self.parts, self.inputs(x) if sx is None else sx
         g, (both, q, kx, vx, (a, every), z, u) = self.forward(sx, scored)
-        a = a / every
-        g = g * np.exp(p["b2"])
+        a /= every
+        g *= np.exp(p["b2"])
         target = y[scored].reshape(-1)
         there = np.flatnonzero(target >= 0)
-        g /= g.sum(1, keepdims=True)
         c = self.cls[target[there]]
-        loss = -float(np.log(g[there, c] + 1e-9).mean())
-        dg = np.zeros_like(g)
-        dg[there] = g[there]
-        dg[there, c] -= 1
-        dg /= len(there)
+        every = (g @ np.ones((g.shape[1], 1), g.dtype))
+        loss = -float(np.log(g[there, c] / every[there, 0] + 1e-9).mean())
+        share = np.zeros_like(every)
+        share[there] = 1 / (every[there] * len(there))
+        dg = np.multiply(g, share, out=g)
+        dg[there, c] -= g.dtype.type(1 / len(there))
         du = (dg @ p["w2"].T) * (1 - u * u)
         dz = (du @ p["w1"].T).reshape(len(scored), STRIDE, 2 * WIDTH)
         do = dz[:, :, WIDTH:]
         da = np.matmul(do, vx.transpose(0, 2, 1))
-        ds = a * (da - (a * da).sum(2, keepdims=True))
+        da -= (a * da) @ np.ones((2 * STRIDE, 1), a.dtype)
+        ds = np.multiply(a, da, out=da)
         qx = q.take(sx[scored], axis=0)
-        de, dq, dk, dv = (np.zeros_like(p["e"]) for _ in range(4))
-        np.add.at(de, sx[scored], dz[:, :, :WIDTH])
-        np.add.at(dq, sx[scored], np.matmul(ds, kx))
-        np.add.at(dk, both, np.matmul(ds.transpose(0, 2, 1), qx))
-        np.add.at(dv, both, np.matmul(a.transpose(0, 2, 1), do))
+        own = np.concatenate([dz[:, :, :WIDTH], np.matmul(ds, kx)], axis=2).reshape(-1, 2 * WIDTH)
+        of_keys = np.concatenate([np.matmul(ds.transpose(0, 2, 1), qx), np.matmul(a.transpose(0, 2, 1), do)], axis=2).reshape(-1, 2 * WIDTH)
+        de, dq = np.split(summed(sx[scored].reshape(-1), own, len(p["e"])), 2, axis=1)
+        dk, dv = np.split(summed(both.reshape(-1), of_keys, len(p["e"])), 2, axis=1)
         dq /= math.sqrt(WIDTH)
         near = np.bincount(self.far[self.seen], ds.sum(0)[self.seen], 2 * STRIDE).astype(np.float32)
         e = p["e"]
@@ -217,6 +232,24 @@ class Model:
             norm = math.sqrt(sum(float((v * v).sum()) for v in grads.values()))
             adam.step({k: v / max(1.0, norm) for k, v in grads.items()}, 1 - t / (steps + 1))
 
+    def learn(self, ids: list[np.ndarray], adam: common.Adam, rng: np.random.Generator) -> int:
+        """One step for every PASS_WINDOWS windows of these texts, each window once, in random order; the number of windows."""
+        x, y, scored, _ = self.laid_out(ids)
+        scored, sx = rng.permutation(scored), self.inputs(x)
+        for i in range(0, len(scored), PASS_WINDOWS):
+            at = scored[i : i + PASS_WINDOWS]
+            _, grads = self.step(x, y, at, sx)
+            norm = math.sqrt(sum(float((v * v).sum()) for v in grads.values()))
+            adam.step({k: v / max(1.0, norm) for k, v in grads.items()}, PASS_RATE * len(at) / PASS_WINDOWS / math.sqrt(1 + adam.t / 100))
+        return len(scored)
+
+    def flat(self) -> np.ndarray:
+        return np.concatenate([v.reshape(-1) for v in self.parts.values()]).astype(np.float64)
+
+    def unflatten(self, flat: np.ndarray) -> None:
+        ends = np.cumsum([v.size for v in self.parts.values()])
+        self.parts = {k: a.reshape(v.shape).astype(np.float32) for (k, v), a in zip(self.parts.items(), np.split(flat, ends[:-1]), strict=True)}
+
     def log_probabilities(self, ids: list[np.ndarray], rows: int = 512) -> np.ndarray:
         """Natural logarithms for all subwords and the end of each text, one text after the other."""
         x, y, scored, _ = self.laid_out(ids)
@@ -234,13 +267,42 @@ class Model:
 
 
 def train(docs: DataFrame, counts: Counts, path: str, id_col: str = "doc_id", text_col: str = "text", rows: int = SAMPLE_ROWS) -> Model:
-    """A model fitted to pieces drawn from the training rows: ``rows`` for each doubling of the corpus beyond DOUBLES_FROM texts, and ``rows`` before."""
+    """A model that has learned from all windows of all training rows.
+
+    It starts from pieces drawn from them: ``rows`` for each doubling of the corpus beyond DOUBLES_FROM texts, and ``rows`` before.
+    """
     model = Model(counts.pieces)
     rows = int(rows * (1 + math.log2(1 + counts.ends / DOUBLES_FROM)))
     key = F.xxhash64(F.lit(29), F.col(id_col), F.length(text_col))
     share = common.share_of(docs.filter(F.length(text_col) > 0), 1.3 * rows / max(1, counts.ends), 31, id_col, text_col)
     drawn = share.select(key.alias("k"), common.slices(F.col(text_col), key, SAMPLE_CHARS).alias("t")).orderBy("k", "t").limit(rows).collect()
     model.fit(encoder(path).encode([r["t"].encode() for r in drawn]))
+    return learned_from_all(model, docs.select(F.col(text_col).alias("text")), path)
+
+
+def learned_from_all(model: Model, texts: DataFrame, path: str) -> Model:
+    """The mean of the models that tasks get from this one over all windows of their texts (text), by their numbers of windows."""
+    shared = texts.sparkSession.sparkContext.broadcast(model)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        net = Model.__new__(Model)
+        net.__dict__ = shared.value.__dict__ | {"parts": {k: v.copy() for k, v in shared.value.parts.items()}}
+        adam, rng, held, size, windows = common.Adam(net.parts, 0.01), np.random.default_rng(17), [], 0, 0
+        for batch in batches:
+            some = [t or b"" for t in common.whole_text(batch.column(0))]
+            held += some
+            size += sum(map(len, some))
+            if size > PASS_BYTES:
+                windows += net.learn(encoder(path).encode(held), adam, rng)
+                held, size = [], 0
+        windows += net.learn(encoder(path).encode(held), adam, rng)
+        if windows:
+            whole = np.append(np.rint(net.flat() * (windows / GRAIN)), windows).astype(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(whole)), pa.int64()), pa.array(whole)], names=["at", "v"])
+
+    sums = texts.mapInArrow(run, "at bigint, v bigint").groupBy("at").agg(F.sum("v").alias("v")).toPandas().sort_values("at")["v"].to_numpy(np.float64)
+    if len(sums):
+        model.unflatten(sums[:-1] * GRAIN / sums[-1])
     return model
 
 

@@ -7,6 +7,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from lakeloom.llm import common, langid, lm, queries, toxicity
 
@@ -153,6 +154,20 @@ def test_log_probabilities_equal_a_plain_loop():
     assert np.allclose(model.log_probabilities(texts), want, rtol=1e-3, atol=1e-3)
 
 
+def test_attention_learns_from_every_row(spark, monkeypatch):
+    monkeypatch.setattr(lm.Model, "fit", lambda self, ids: None)  # no start: what is learned comes from the pass over all rows
+    path, rng = queries.tokenizer_path(), np.random.default_rng(4)
+    rows = [(i, " ".join(["red house by the old river"] * int(rng.integers(1, 60)))) for i in range(300)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3, "doc_id")
+    counts = lm.gather(docs, path)
+    net, start = lm.train(docs, counts, path), lm.Model(counts.pieces)
+    ids = lm.encoder(path).encode([t.encode() for _, t in rows])
+    assert net.log_probabilities(ids).mean() > start.log_probabilities(ids).mean() + 0.1  # after three steps a task
+    other = docs.withColumn("text", F.when(F.col("doc_id") == 299, F.array_join(F.reverse(F.split("text", " ")), " ")).otherwise(F.col("text")))
+    assert (lm.train(other, counts, path).flat() != net.flat()).any()  # the same counts, one row in another order
+    assert (lm.train(docs, counts, path).flat() == net.flat()).all()
+
+
 def test_hot_words_are_found_where_all_are_frequent(spark, monkeypatch):
     monkeypatch.setattr(lm, "HOT_WORDS", 3)
     monkeypatch.setattr(lm, "EXACT", 2)
