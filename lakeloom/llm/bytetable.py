@@ -46,9 +46,13 @@ class ByteTable:
 
     def find(self, keys: np.ndarray) -> np.ndarray:
         """The entry of each key, -1 for none."""
-        out = np.full(len(keys), -1, np.int64)
         slot = (_hash(keys) >> np.uint64(64 - self.bits)).astype(np.int64)
-        left = np.arange(len(keys))
+        entry = self.slots[slot]
+        own, there = self.keys[entry], entry >= 0
+        same = there & (own[:, 0] == keys[:, 0]) & (own[:, 1] == keys[:, 1]) & (own[:, 2] == keys[:, 2])
+        out = np.where(same, entry, -1).astype(np.int64)
+        left = np.flatnonzero(there & ~same)
+        slot = (slot[left] + 1) & (len(self.slots) - 1)
         while len(left):
             entry = self.slots[slot]
             there = entry >= 0

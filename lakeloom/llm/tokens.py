@@ -122,7 +122,9 @@ class Encoder:
     def _by_unit(self, texts: list[bytes], data: bytes) -> Ragged:
         buffer = padded(data)
         cls = CLASS[buffer[: len(data)]]
-        change = np.flatnonzero(np.diff(cls, prepend=0)) if len(cls) else np.zeros(0, np.int64)
+        edge = np.empty(len(cls), bool)
+        edge[:1], edge[1:] = cls[:1] != 0, cls[1:] != cls[:-1]
+        change = np.flatnonzero(edge)
         start, end = change, np.append(change[1:], len(data))
         kind = cls[start]
         inside = kind > 0
@@ -273,7 +275,7 @@ def digest(spark: SparkSession, target: str) -> DataFrame:
     over the slices' totals, of which there are as many as files.
     """
     rows = read(spark, target).select("doc_id", F.col("_metadata.file_name").alias("file"), F.col("_metadata.row_index").alias("row"), F.size("tokens").cast("long").alias("n_tokens"), ids_crc32("tokens").alias("ids_crc32"))
-    slices = rows.withColumn("slice", (F.col("row") / 4096).cast("long"))
+    slices = common.stored(rows.withColumn("slice", (F.col("row") / 4096).cast("long")), "digests")  # the tokens are read once
     totals = slices.groupBy("file", "slice").agg(F.sum("n_tokens").alias("total"))
     totals = totals.withColumn("before", F.sum("total").over(Window.partitionBy("file").orderBy("slice")) - F.col("total"))
     files = totals.groupBy("file").agg(F.sum("total").alias("in_file"))

@@ -218,3 +218,11 @@ def test_small_feistel_is_a_permutation(spark):
     pair = pii.feistel("x div 7", "x % 7", "5", "7", "t", "key")
     got = [(r[0], r[1]) for r in spark.range(35).selectExpr("id as x").selectExpr(f"{pair} as p").select("p.a", "p.b").collect()]
     assert sorted(got) == [(a, b) for a in range(5) for b in range(7)] and got != sorted(got)
+
+
+def test_digest_reads_the_tokens_once(spark, tmp_path):
+    docs = spark.createDataFrame([(i, f"some words {i}") for i in range(50)], "doc_id bigint, text string")
+    tokens.write(docs, f"file://{tmp_path}/t", queries.tokenizer_path())
+    got = tokens.digest(spark, f"file://{tmp_path}/t")
+    assert "tokens:array" not in got._jdf.queryExecution().executedPlan().toString()
+    assert sorted(r["doc_id"] for r in got.collect()) == list(range(50))
