@@ -177,6 +177,16 @@ def _give_back() -> None:
         return
 
 
+def keep_freed(most: int = 64 << 20) -> None:
+    """Freed memory up to this stays with the process: arrays of a few MB that come and go would be mapped and cleared anew each time."""
+    try:
+        libc = ctypes.CDLL(None)
+        libc.mallopt(-3, 32 << 20)  # M_MMAP_THRESHOLD
+        libc.mallopt(-1, most)  # M_TRIM_THRESHOLD
+    except (OSError, AttributeError):  # another C library
+        return
+
+
 def _split(schema: str) -> list[str]:
     """The parts of "a int, b array<struct<x: int, y: int>>" at the commas outside brackets."""
     parts, depth, start = [], 0, 0

@@ -168,6 +168,46 @@ def test_attention_learns_from_every_row(spark, monkeypatch):
     assert (lm.train(docs, counts, path).flat() == net.flat()).all()
 
 
+def test_runs_of_windows_have_the_gradient_of_single_ones():
+    model = lm.Model(np.random.default_rng(1).integers(0, 50, 300))
+    x, y, _, _ = model.laid_out([np.arange(200) % 300, np.arange(40), np.array([5, 5, 7]), np.zeros(0, int)])
+    rows = np.arange(1, 1 + (len(x) - 1) // 4 * 4)
+    one, apart = model.step(x, y, rows)
+    runs, together = model.step(x, y, rows.reshape(-1, 4)[::-1])
+    assert one == pytest.approx(runs, rel=1e-5)
+    assert all(np.allclose(apart[k], together[k], rtol=1e-3, atol=1e-6) for k in apart)
+
+
+def test_each_window_is_learned_once(monkeypatch):
+    model, seen = lm.Model(np.random.default_rng(1).integers(0, 50, 300)), []
+    monkeypatch.setattr(lm, "PASS_WINDOWS", 2 * lm.RUN)
+    step = lm.Model.step
+    monkeypatch.setattr(lm.Model, "step", lambda self, x, y, at, sx: (seen.extend(at.reshape(-1)), step(self, x, y, at, sx))[1])
+    ids = [np.arange(n) % 300 for n in (700, 3, 0, 90)]
+    _, _, scored, _ = model.laid_out(ids)
+    assert model.learn(ids, common.Adam(model.parts, 0.01), np.random.default_rng(2)) == len(scored)
+    assert len(set(seen)) == len(seen) and set(scored) <= set(seen)
+    assert model.learn([], common.Adam(model.parts, 0.01), np.random.default_rng(2)) == 0
+
+
+def test_ids_are_encoded_once_and_kept(spark, odd_docs):
+    path = queries.tokenizer_path()
+    counts = lm.gather(odd_docs, path)
+    kept = odd_docs.select("text", lm.words_and_ids(counts, path, spark)("text").alias("s")).select("text", "s.*")
+    tokenizer = lm.encoder(path).tokenizer
+    for r in kept.collect():
+        ids = tokenizer.encode(r["text"] or "", add_special_tokens=False).ids
+        assert np.frombuffer(r["ids"], lm.id_type(tokenizer.get_vocab_size())).tolist() == ids
+        parts, hot = np.frombuffer(r["parts"], np.int32), np.frombuffer(r["hot"], np.int32)
+        assert parts.sum() == len(ids) and len(parts) == len(hot) == r["n_tokens"] - 1 and (hot < 0).sum() == len(r["rare"])
+    from_words = counts.pieces.copy()
+    counts.count_ids(kept)
+    assert (counts.pieces == from_words).all()
+    for kind in (np.uint16, np.int32):
+        array = lm.packed(np.arange(7).astype(kind), np.array([3, 0, 4])).slice(1)
+        assert [x.tolist() for x in lm.unpacked(array, kind)] == [[3, 4, 5, 6], [0, 4]]
+
+
 def test_hot_words_are_found_where_all_are_frequent(spark, monkeypatch):
     monkeypatch.setattr(lm, "HOT_WORDS", 3)
     monkeypatch.setattr(lm, "EXACT", 2)
