@@ -345,3 +345,15 @@ def test_names_in_the_log_appear_whole(spark, tmp_path):
     with pytest.raises(FileExistsError):
         t.log.create(f"_log/{1:020d}.json", "{}")
     assert t.read().count() == 1 and not [n for n in t.log.names("_log") if n.endswith(".tmp")]
+
+
+def test_statistics_of_new_files_sort_no_rows(spark, tmp_path, monkeypatch):
+    plans = []
+    real = type(spark.range(1)).collect
+    monkeypatch.setattr(type(spark.range(1)), "collect", lambda self: plans.append(self._jdf.queryExecution().executedPlan().toString()) or real(self))
+    t = Table(spark, str(tmp_path / "s"))
+    t.append(rows(spark, (2, "b"), (1, "a"), (3, None)).coalesce(1))
+    found = [p for p in plans if "file_path" in p]
+    assert found and not any("Sort" in p for p in found)
+    f = t.active_files()[0]
+    assert (f["rows"], f["stats"]["v"]["min"], f["stats"]["v"]["max"], f["stats"]["v"]["nulls"], f["stats"]["id"]["min"]) == (3, "a", "b", 1, "1")
