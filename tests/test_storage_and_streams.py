@@ -13,6 +13,7 @@ from lakeloom.functions import inference
 from lakeloom.operators.reconcile import same_rows
 from lakeloom.ops import retry, tracking
 from lakeloom.sources import files, rest
+from lakeloom.storage import table as table_module
 from lakeloom.storage.feed import apply_changes
 from lakeloom.storage.table import AmbiguousMerge, ConflictError, ConstraintViolation, SchemaMismatch, Table, retry_on_conflict
 from lakeloom.streaming import windows
@@ -357,3 +358,19 @@ def test_statistics_of_new_files_sort_no_rows(spark, tmp_path, monkeypatch):
     assert found and not any("Sort" in p for p in found)
     f = t.active_files()[0]
     assert (f["rows"], f["stats"]["v"]["min"], f["stats"]["v"]["max"], f["stats"]["v"]["nulls"], f["stats"]["id"]["min"]) == (3, "a", "b", 1, "1")
+
+
+@pytest.mark.parametrize("how", [{"cluster_by": ["id"]}, {"zorder_by": ["id"]}])
+def test_compacted_files_are_in_order_without_a_task_that_sorts_a_whole_one(spark, tmp_path, monkeypatch, how):
+    monkeypatch.setattr(table_module, "SORT_ROWS", 100)
+    t = Table(spark, str(tmp_path / "o"))
+    t.append(spark.range(1000).select(((F.col("id") * 7919) % 1000).cast("int").alias("id"), F.lit("a").alias("v")).repartition(3))
+    sorted_rows = []
+    real = Table._in_order
+    monkeypatch.setattr(Table, "_in_order", lambda self, *a: (df := real(self, *a), sorted_rows.append(df._jdf.queryExecution().optimizedPlan().toString()))[0])
+    t.compact(2, **how)
+    assert sorted_rows and "Sort" not in sorted_rows[0]  # the sorts were done before, in ranges of a hundred rows
+    parts = [[r["id"] for r in t.rows_of([f["path"]]).coalesce(1).collect()] for f in t.active_files()]
+    assert len(parts) == 2 and all(p == sorted(p) for p in parts) and sorted(parts[0] + parts[1]) == list(range(1000))
+    assert max(map(len, parts)) < 800 and (max(parts[0]) < min(parts[1]) or max(parts[1]) < min(parts[0]))
+    assert not [p for p in t.log.files("_staging") if p.endswith(".parquet")]
