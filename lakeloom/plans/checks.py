@@ -15,6 +15,7 @@ from ..operators import flow, history, privacy, profile, quality
 from ..ops import retry, tracking
 from ..registry import query, read
 from ..session import scoped_conf
+from ..storage import places
 from .relational import KEY, _hmac_sql
 from .storage import scratch
 from .tables import facts
@@ -470,10 +471,10 @@ def naive_history_join(spark, d):
 
 @query("select l_orderkey, l_linenumber, l_quantity, (row_number() over (partition by l_returnflag order by l_quantity, l_orderkey, l_linenumber))::bigint as place from lineitem")
 def sorted_inside_partitions(spark, d):
-    """SRT4, SRT5: rows dealt by a hash of the flag and sorted inside partitions, which spills where memory ends; places follow without a further shuffle"""
-    dealt = read(spark, d, "lineitem").select("l_returnflag", "l_orderkey", "l_linenumber", "l_quantity").repartition("l_returnflag").sortWithinPartitions("l_returnflag", "l_quantity", "l_orderkey", "l_linenumber")
-    placed = dealt.withColumn("place", F.row_number().over(Window.partitionBy("l_returnflag").orderBy("l_quantity", "l_orderkey", "l_linenumber")).cast("bigint"))
-    assert len(tracking.grep_plan(placed, "Exchange")) == 1
+    """SRT4, SRT5: rows dealt in ranges and sorted inside partitions, so that a flag's rows are no single task; places follow without a further shuffle of rows"""
+    lines = read(spark, d, "lineitem").select("l_returnflag", "l_orderkey", "l_linenumber", "l_quantity")
+    placed = places.numbered(lines, ["l_returnflag"], ["l_quantity", "l_orderkey", "l_linenumber"], scratch(spark), "place")
+    assert len(tracking.grep_plan(placed, "Exchange")) == 1  # the counts before each file
     return placed.drop("l_returnflag")
 
 

@@ -5,6 +5,7 @@ import json
 from datetime import UTC, datetime
 
 import pytest
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from lakeloom import pipeline
@@ -13,6 +14,7 @@ from lakeloom.functions import inference
 from lakeloom.operators.reconcile import same_rows
 from lakeloom.ops import retry, tracking
 from lakeloom.sources import files, rest
+from lakeloom.storage import places
 from lakeloom.storage import table as table_module
 from lakeloom.storage.feed import apply_changes
 from lakeloom.storage.table import AmbiguousMerge, ConflictError, ConstraintViolation, SchemaMismatch, Table, retry_on_conflict
@@ -374,3 +376,13 @@ def test_compacted_files_are_in_order_without_a_task_that_sorts_a_whole_one(spar
     assert len(parts) == 2 and all(p == sorted(p) for p in parts) and sorted(parts[0] + parts[1]) == list(range(1000))
     assert max(map(len, parts)) < 800 and (max(parts[0]) < min(parts[1]) or max(parts[1]) < min(parts[0]))
     assert not [p for p in t.log.files("_staging") if p.endswith(".parquet")]
+
+
+def test_places_of_keys_that_no_task_sorts_alone(spark, tmp_path):
+    df = spark.range(3000).select(F.when(F.col("id") % 3 == 0, None).otherwise(F.when(F.col("id") % 100 == 1, "a").otherwise("b")).alias("k"), ((F.col("id") * 7919) % 50).alias("q"), "id").repartition(5)
+    got = places.numbered(df, ["k"], ["q", "id"], str(tmp_path / "f"), "place", rows=200)
+    want = df.withColumn("place", F.row_number().over(Window.partitionBy("k").orderBy("q", "id")).cast("bigint"))
+    assert content(got) == content(want) and len(list((tmp_path / "f").glob("*.parquet"))) == 15
+    assert max(r["count"] for r in spark.read.parquet(str(tmp_path / "f")).groupBy(F.input_file_name()).count().collect()) < 500
+    none = places.numbered(df.filter("false"), ["k"], ["q", "id"], str(tmp_path / "e"), "place")
+    assert none.columns == want.columns and none.count() == 0
