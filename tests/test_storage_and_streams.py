@@ -13,6 +13,7 @@ from lakeloom.functions import files as small
 from lakeloom.functions import inference
 from lakeloom.operators.reconcile import same_rows
 from lakeloom.ops import retry, tracking
+from lakeloom.plans import drivers
 from lakeloom.sources import files, rest
 from lakeloom.storage import places
 from lakeloom.storage import table as table_module
@@ -386,3 +387,12 @@ def test_places_of_keys_that_no_task_sorts_alone(spark, tmp_path):
     assert max(r["count"] for r in spark.read.parquet(str(tmp_path / "f")).groupBy(F.input_file_name()).count().collect()) < 500
     none = places.numbered(df.filter("false"), ["k"], ["q", "id"], str(tmp_path / "e"), "place")
     assert none.columns == want.columns and none.count() == 0
+
+
+def test_a_stream_is_captured_by_tasks_in_shards(spark, monkeypatch):
+    monkeypatch.setattr(drivers.rest, "capture", None)  # the driver's; workers have their own
+    monkeypatch.setattr(drivers, "SHARD_EVENTS", 300)
+    path = "/root/testdata/sf0.001"
+    got = drivers.captured_events(spark, path)
+    want = spark.read.parquet(f"{path}/events.parquet").select(F.col("event_id").cast("string").alias("id"), F.col("event_type").alias("type"))
+    assert want.count() > 900 and content(got) == content(want)
